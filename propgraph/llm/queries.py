@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixing, quality_rules, sharding, simhash
-from .common import read
+from . import bpe, embed_dedup, mixing, quality_rules, sharding, simhash, toxicity
+from .common import held_out, read
 
 try:
     import public_tokenizers
@@ -42,6 +42,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("broken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, net)
+    return rows.select("doc_id", held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
