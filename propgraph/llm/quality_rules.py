@@ -32,7 +32,7 @@ RULES: tuple[tuple[str, str, str, float], ...] = (
     ("too_long", "n_words", "max", 1_000_000),
     ("words_too_short", "mean_word_chars", "min", 2.0),
     ("words_too_long", "mean_word_chars", "max", 16.0),
-    ("symbols", "symbol_ratio", "max", 0.3),
+    ("symbols", "symbol_ratio", "max", 0.25),
     ("no_stop_words", "stop_word_ratio", "min", 0.01),
     ("repeated_lines", "dup_line_ratio", "max", 0.5),
     ("long_lines_only_dots", "ellipsis_line_ratio", "max", 0.5),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixing, quality_rules, sharding, simhash, toxicity
+from . import bpe, embed_dedup, mixing, pii, quality_rules, rule_ensemble, sharding, simhash, toxicity
 from .common import held_out, read
 
 try:
@@ -49,6 +49,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = rule_ensemble.fit(docs, read(spark, sf_dir, "labels"))
+    rows = rule_ensemble.score(docs, model)
+    return rows.select("doc_id", held_out(F.col("doc_id"), rule_ensemble.FOLDS, rule_ensemble.FOLD).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.replace(docs, spans="found")
+    return rows.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_sort(F.array_distinct("found.kind")).alias("kinds"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
