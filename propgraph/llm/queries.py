@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixing, pii, quality_rules, rule_ensemble, sharding, simhash, toxicity
+from . import bpe, embed_dedup, mixing, pii, quality_rules, rule_ensemble, sharding, simhash, token_counts, toxicity
 from .common import held_out, read
 
 try:
@@ -42,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("broken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = toxicity.fit(docs, read(spark, sf_dir, "labels"))
