@@ -17,11 +17,10 @@ hold one class only, or 0 without labels.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +32,12 @@ HIDDEN, ATTENTION = 8, 8
 WORD_BITS, WORD_SIZE = 14, 8
 CHAR_BITS, CHAR_SIZE = 15, 12
 GRAMS = (3, 4, 5)
-SAMPLE = 8000
+SAMPLE = 6000
 WINDOWS = 200
 BATCH_WORDS = 150_000
 BATCH_WINDOWS = 1024
+#: Distinct words whose n-grams are looked at together.
+PART = 20_000
 FOLDS, FOLD = 5, 0
 
 _WORD = re.compile(r"\w+")
@@ -67,7 +68,7 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owners.append(owner[at])
     gram, owned = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(owned, kind="stable")
-    return word.astype(np.int64), gram[order].astype(np.int64), np.bincount(owned, minlength=len(words))
+    return word.astype(np.int32), gram[order].astype(np.int32), np.bincount(owned, minlength=len(words))
 
 
 _POWERS = np.cumprod(np.full(4096, 0x01000193, np.uint32), dtype=np.uint32)
@@ -116,15 +117,24 @@ class Net:
     def inputs(self, word: np.ndarray, gram: np.ndarray, has: np.ndarray) -> np.ndarray:
         """Input vector of each distinct word."""
         p = self.p
-        begin = np.cumsum(has) - has
-        chars = np.add.reduceat(p["char"][gram], begin, axis=0) / has[:, None] if len(word) else np.zeros((0, CHAR_SIZE))
-        return np.concatenate([p["word"][word], chars.astype(np.float32)], axis=1)
+        out = np.empty((len(word), WORD_SIZE + CHAR_SIZE), np.float32)
+        out[:, :WORD_SIZE] = p["word"][word]
+        ends = np.cumsum(has)
+        for a in range(0, len(word), PART):
+            b = min(len(word), a + PART)
+            begin = ends[a] - has[a]
+            sums = np.add.reduceat(p["char"][gram[begin : ends[b - 1]]], ends[a:b] - has[a:b] - begin, axis=0)
+            out[a:b, WORD_SIZE:] = sums / has[a:b, None]
+        return out
 
     def steps(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of each distinct word, and a last row of zeros for padding; directions first."""
-        g = x @ self.p["w"] + self.p["b"]
-        g = np.concatenate([g, np.zeros((1, g.shape[1]), np.float32)])
-        return np.ascontiguousarray(g.reshape(len(g), 2, 3 * HIDDEN).transpose(1, 0, 2))
+        w, b, wide = self.p["w"], self.p["b"], 3 * HIDDEN
+        g = np.zeros((2, len(x) + 1, wide), x.dtype)
+        for side in (0, 1):
+            np.matmul(x, w[:, side * wide : (side + 1) * wide], out=g[side, :-1])
+            g[side, :-1] += b[side * wide : (side + 1) * wide]
+        return g
 
     def forward(self, g: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows ``at`` (steps x windows of rows of ``g``; the last row pads)."""
@@ -193,26 +203,32 @@ class Net:
 
 
 class Texts:
-    """Texts as windows over their distinct words."""
+    """Texts as windows over their distinct words. Takes words text by text, so no list of all words is held."""
 
-    def __init__(self, texts: list[list[str]]):
-        flat = [w for t in texts for w in t]
-        codes, self.words = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), np.zeros(0, object))
-        self.word, self.gram, self.has = grams_of(list(self.words))
-        rows, self.owner, begin = [], [], 0
+    def __init__(self, texts: Iterable[list[str]]):
+        known: dict[str, int] = {}
+        number = known.setdefault
+        codes, rows, owner, begin = [], [], [], 0
         for i, t in enumerate(texts):
+            codes.append(np.array([number(w, len(known)) for w in t], np.int32))
             for a, b in windows_of(len(t)):
                 rows.append((begin + a, begin + b))
-                self.owner.append(i)
+                owner.append(i)
             begin += len(t)
-        self.owner = np.array(self.owner, np.int64)
-        pad = len(self.words)
+        self.owner = np.array(owner, np.int64)
+        words = list(known)
+        parts = [grams_of(words[i : i + PART]) for i in range(0, len(words), PART)] or [grams_of([])]
+        self.word, self.gram, self.has = (np.concatenate(x) for x in zip(*parts))
+        pad = len(words)
         if rows:
+            flat = np.append(np.concatenate(codes), np.int32(pad))
             spans = np.array(rows)
-            place = spans[:, :1] + np.arange(SPAN)
-            self.at = np.where(place < spans[:, 1:], np.append(codes, pad)[np.minimum(place, len(codes))], pad).T.copy()
+            self.at = np.empty((SPAN, len(rows)), np.int32)
+            for k in range(SPAN):
+                place = spans[:, 0] + k
+                self.at[k] = np.where(place < spans[:, 1], flat[np.minimum(place, begin)], pad)
         else:
-            self.at = np.zeros((SPAN, 0), np.int64)
+            self.at = np.zeros((SPAN, 0), np.int32)
 
 
 def window_logits(net: Net, t: Texts) -> np.ndarray:
@@ -250,7 +266,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 4) -> Net:
     if not len(y) or prior in (0.0, 1.0):
         return Net(prior)
     rng = np.random.default_rng(seed)
-    t = Texts([tokens(x) for x in texts])
+    t = Texts(map(tokens, texts))
     if not len(t.owner):
         return Net(prior)
     if (counts := np.bincount(t.owner, minlength=len(y))).max() > WINDOWS:  # the documented bound of the fit
@@ -281,8 +297,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 4) -> Net:
 def _telling(t: Texts, y: np.ndarray) -> np.ndarray:
     """Of each window the largest log-odds of an n-gram, by documents with and without it."""
     begin = np.cumsum(t.has) - t.has
-    owner_of_word = np.repeat(np.arange(len(t.has)), t.has)
-    pairs = np.unique(np.stack([np.repeat(t.owner, SPAN), t.at.T.ravel()]), axis=1)
+    owner_of_word = np.repeat(np.arange(len(t.has), dtype=np.int32), t.has)
+    wide = len(t.has) + 1
+    both = np.unique(np.repeat(t.owner, SPAN) * wide + t.at.T.ravel())
+    pairs = np.stack([both // wide, both % wide])
     pairs = pairs[:, pairs[1] < len(t.has)]
     with_, without = np.zeros(1 << CHAR_BITS), np.zeros(1 << CHAR_BITS)
     share = y.mean()
