@@ -34,7 +34,7 @@ CHAR_BITS, CHAR_SIZE = 15, 12
 GRAMS = (3, 4, 5)
 SAMPLE = 6000
 WINDOWS = 200
-BATCH_WORDS = 150_000
+BATCH_WORDS = 100_000
 BATCH_WINDOWS = 1024
 #: Distinct words whose n-grams are looked at together.
 PART = 20_000
@@ -242,20 +242,20 @@ def scores(net: Net, texts: list[str | None]) -> np.ndarray:
     out = np.full(len(texts), net.prior)
     if not net.p:
         return out
-    split = [tokens(x) for x in texts]
     at = 0
-    while at < len(split):
-        end, n = at, 0
-        while end < len(split) and (end == at or n + len(split[end]) <= BATCH_WORDS):
-            n += len(split[end])
-            end += 1
-        t = Texts(split[at:end])
+    while at < len(texts):
+        own: list[list[str]] = []
+        n = 0
+        while at + len(own) < len(texts) and n < BATCH_WORDS:  # words of a few texts at a time
+            own.append(tokens(texts[at + len(own)]))
+            n += len(own[-1])
+        t = Texts(own)
         if len(t.owner):
-            worst = np.full(end - at, -np.inf)
+            worst = np.full(len(own), -np.inf)
             np.maximum.at(worst, t.owner, window_logits(net, t).astype(np.float64))
             some = np.isfinite(worst)
-            out[at:end][some] = sigmoid(worst[some])
-        at = end
+            out[at : at + len(own)][some] = sigmoid(worst[some])
+        at += len(own)
     return np.clip(out, 0.0, 1.0)
 
 
