@@ -9,6 +9,7 @@ are never changed: an edit puts new DataFrames in a new graph object's place (co
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -177,7 +178,7 @@ def _parsed(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...]) -> Data
     base = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], "properties")
     if not inner:
         return base.drop("properties")
-    inner = inner.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING")
+    inner = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", inner.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING"))
     return base.withColumn("p", F.from_json("properties", inner)).select(*keys, "p.*")
 
 

@@ -58,23 +58,23 @@ def modularity(graph: PropertyGraph, communities: DataFrame, rel_type: str | Non
     return inside / m - float(degree.agg(F.sum(F.col("a") * F.col("a"))).first()[0])
 
 
-def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = None, max_rounds: int = 50) -> DataFrame:
+def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = None, max_rounds: int = 40) -> DataFrame:
     """``node_id, component``: nodes take the label most of their neighbours have, of equal ones their own if it is among them, else the greatest.
 
-    Two colour classes by the id's parity take turns, which keeps neighbours from swapping for ever.
+    Each round a half of the nodes, by a hash of id and round, moves, so that neighbours do not swap
+    for ever; it ends when no node wants another label.
     """
     e = cut(both_ways(simple(edges(graph, rel_type))).select("src", "dst"))
     state = cut(vertices(graph, rel_type).select("node_id", F.col("node_id").alias("label")))
-    still = 0
-    for turn in range(2 * max_rounds):
-        votes = e.filter(F.col("src") % 2 == turn % 2).join(state, F.col("dst") == F.col("node_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
+    for turn in range(max_rounds):
+        votes = e.join(state, F.col("dst") == F.col("node_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
         own = state.select(F.col("node_id").alias("src"), F.col("label").alias("own"))
         best = votes.join(own, "src").groupBy("src").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("same"), "label")).alias("b")).select("src", F.col("b.label").alias("new"))
-        after = cut(state.join(best, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")))
-        moved = not after.filter("moved").isEmpty()
-        state = after.drop("moved")
-        still = 0 if moved else still + 1
-        if still == 2:
+        wants = F.coalesce(F.col("new") != F.col("label"), F.lit(False))
+        moves = wants & (F.xxhash64("node_id", F.lit(turn)) % 2 == 0)
+        after = cut(state.join(best, F.col("node_id") == F.col("src"), "left").select("node_id", F.when(moves, F.col("new")).otherwise(F.col("label")).alias("label"), wants.alias("wants")))
+        state = after.drop("wants")
+        if after.filter("wants").isEmpty():
             break
     roots = state.groupBy("label").agg(F.min("node_id").alias("root"))
     return numbered(state.join(roots, "label").select("node_id", "root"))

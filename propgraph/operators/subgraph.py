@@ -46,6 +46,6 @@ def of_query(graph: PropertyGraph, text: str, limit: int = SHOWN, rel_type: str
     known = graph.node_view((), ()).select("id")
     nodes = values.join(known, F.col("x") == F.col("id"), "left_semi").select(F.col("x").alias("id"))
     rest = values.join(known, F.col("x") == F.col("id"), "left_anti")
-    ends = graph.rel_view((), ()).join(rest, F.col("id") == F.col("x"), "left_semi")
+    ends = graph.rel_view([rel_type] if rel_type else [], ()).join(rest, F.col("id") == F.col("x"), "left_semi")
     ends = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id")))
     return _induced(graph, _best(graph, nodes.unionByName(ends).distinct(), limit, rel_type), rel_type)

@@ -173,6 +173,8 @@ class Compiler:
 
     # patterns
     def match(self, rows: Rows, clause: A.Match) -> Rows:
+        paths, where = self.hoisted(clause.paths, clause.where)
+        clause = A.Match(paths, clause.optional, where)
         pattern, shared = self.pattern(clause.paths, rows.scope, clause.where)
         extra = self.constraints(clause.paths, rows.scope)
         tests = conjuncts(clause.where)
@@ -458,9 +460,29 @@ class Compiler:
         return rows
 
     def truth(self, e: A.Expr, rows: Rows) -> Column:
-        return self.expr(e, rows)
+        return self.as_bool(self.expr(e, rows), rows)
+
+    def hoisted(self, paths: tuple[A.Path, ...], where: A.Expr | None) -> tuple[tuple[A.Path, ...], A.Expr | None]:
+        """Properties in a pattern that name other variables become tests beside it."""
+        tests: list[A.Expr] = []
+
+        def plain(x):
+            moved = [(k, e) for k, e in x.props if any(isinstance(v, A.Var) for v in A.walk(e))]
+            if not moved:
+                return x
+            var = x.var or self.name("h")
+            for k, e in moved:
+                self.needs.setdefault(var, set()).add(k)
+                tests.append(A.Binary("=", A.Prop(A.Var(var), k), e))
+            return replace(x, var=var, props=tuple(p for p in x.props if p not in moved))
+
+        out = tuple(replace(p, nodes=tuple(map(plain, p.nodes)), rels=tuple(map(plain, p.rels))) for p in paths)
+        for t in tests:
+            where = t if where is None else A.Binary("AND", where, t)
+        return out, where
 
     def exists(self, e: A.Exists, rows: Rows) -> tuple[DataFrame, Column]:
+        e = A.Exists(*self.hoisted(e.paths, e.where))
         pattern, shared = self.pattern(e.paths, rows.scope, e.where)
         right, on = pattern.df, F.lit(True)
         for v in shared:

@@ -59,7 +59,7 @@ def load_network(spark, tables: dict[str, DataFrame]) -> tuple[PropertyGraph, di
     for code, (table, label, kind) in enumerate((("generadores", "Generator", "GENERACION"), ("cargas", "Load", "CONSUMO"), ("shunts", "Shunt", "SHUNT")), 4):
         leaf = checked(table, "bus_numero")
         if leaf is not None:
-            leaf = leaf.withColumnRenamed("id", "ident").withColumn("id", _numbered(leaf, code, "bus_numero", "ident" if "ident" in leaf.columns else "id"))
+            leaf = leaf.withColumnRenamed("id", "ident").withColumn("id", _numbered(leaf, code, "bus_numero", "ident"))
             g = g.with_nodes([label], leaf)
             g = g.with_rels(kind, leaf.select((F.col("id") * 10).alias("id"), F.col("bus_numero").cast("long").alias("src"), F.col("id").alias("dst")), ["Bus"], [label])
     return g, lost
