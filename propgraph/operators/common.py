@@ -26,7 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():  # only where the cluster names none
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="propgraph-"))
-    return df.checkpoint(eager=True)
+    # Constraints that a plan carries through a checkpoint can name columns that a later union does not have.
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def number(c: Column, kind: T.DataType, default: float = 1.0) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from ..operators.common import cut
 
 # Properties that the graph keeps.
 BUS = "numero nombre V_base_kV tipo area zona zoname V_mag_pu V_ang_deg V_max_pu V_min_pu".split()
@@ -21,6 +22,7 @@ def _numbered(df: DataFrame, code: int, *keys: str) -> Column:
 def load_network(spark, tables: dict[str, DataFrame]) -> tuple[PropertyGraph, dict[str, int]]:
     """The graph, and how many rows each table lost because a bus of theirs is unknown."""
     lost: dict[str, int] = {}
+    tables = {name: cut(t) for name, t in tables.items()}  # files are parsed once, whatever the graph is asked
     buses = tables["buses"].dropDuplicates(["numero"])
     bus = buses.select(F.col("numero").cast("long").alias("id"), *[c for c in BUS if c in buses.columns])
     g = PropertyGraph(spark).with_nodes(["Bus"], bus)
