@@ -40,14 +40,14 @@ def pagerank(graph: PropertyGraph, rel_type: str | None = None, damping: float =
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("rank"))
     state = cut(nodes.withColumn("rank", F.lit(1.0 / n)))
+    lost = nodes.filter("dead").count() / n
     for _ in range(rounds or max_iter):
-        lost = state.agg(F.sum(F.when(F.col("dead"), F.col("rank")).otherwise(0.0))).first()[0]
         got = shares.join(state, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
         after = cut(state.join(got, F.col("node_id") == F.col("dst"), "left").select("node_id", "dead", new.alias("rank"), F.abs(new - F.col("rank")).alias("step")))
-        moved = after.agg(F.sum("step")).first()[0] if rounds is None else 1.0
+        moved, lost = after.agg(F.sum("step"), F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))).first()
         state = after.drop("step")
-        if moved < tol:
+        if rounds is None and moved < tol:
             break
     return state.select("node_id", "rank")
 

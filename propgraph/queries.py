@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import centrality, community, flow, matrix, metrics, structure, subgraph, traverse
-from .sources.commerce import commerce_graph
+from .graph import PropertyGraph
+from .sources import commerce
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,18 @@ R, FOLLOWS = "SUPPLIES_RARE", "FOLLOWS"
 USER_1 = 7 * 10**12 + 1
 
 
+_last: dict[tuple[str, str], PropertyGraph] = {}
+
+
+def commerce_graph(spark: SparkSession, sf: str) -> PropertyGraph:
+    """The graph over these tables; the last one is kept, as a plan only."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _last:
+        _last.clear()
+        _last[key] = commerce.commerce_graph(spark, sf)
+    return _last[key]
+
+
 def cypher(name: str, text: str, sql: str, **params) -> None:
     QUERIES[name] = lambda spark, sf: commerce_graph(spark, sf).query(text, params)
     SQL[name] = sql
@@ -97,10 +110,7 @@ SQL["fn_json_property"] = "SELECT event_id AS key, (props->>'$.k')::BIGINT AS k
 
 
 def json_events(spark: SparkSession, sf: str):
-    from .graph import PropertyGraph
-    from .sources.commerce import table
-
-    return PropertyGraph(spark).with_nodes(["Event"], table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("key"), "props"))
+    return PropertyGraph(spark).with_nodes(["Event"], commerce.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("key"), "props"))
 
 
 # ---- shared SQL ---------------------------------------------------------------------------------
