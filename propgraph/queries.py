@@ -1,7 +1,8 @@
 """Queries of the graph engine by name, with DuckDB SQL that computes the same rows.
 
 The graphs come from the star schema and event tables (``sources.commerce``): R is the sparse
-supplier-part graph, F the directed multigraph of users in turn.
+supplier-part graph, WHOLE the supplier-part graph of all lines, F the directed multigraph of users
+in turn.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-R, FOLLOWS = "SUPPLIES_RARE", "FOLLOWS"
+R, WHOLE, FOLLOWS = "SUPPLIES_RARE", "SUPPLIES", "FOLLOWS"
 USER_1 = 7 * 10**12 + 1
 
 
@@ -193,6 +194,14 @@ add("clustering_local", lambda g: structure.clustering_local(g, FOLLOWS).select(
 add("clustering_global", lambda g: one(g.spark, clustering=round(structure.clustering_global(g, FOLLOWS), 9)), f"{recursive('F')}{TRI} SELECT round((SELECT sum(t) FROM tn) / (SELECT sum(d * (d - 1) / 2.0) FROM dg), 9) AS clustering")
 
 
+# the same over all supplier-part pairs; the recursive SQL above is too slow there, tests hold these to brute force
+add("wcc_supplies", lambda g: traverse.connected_components(g, WHOLE))
+add("wcc_sizes_supplies", lambda g: traverse.component_sizes(g, WHOLE))
+add("is_connected_supplies", lambda g: one(g.spark, supplies=traverse.is_connected(g, WHOLE)))
+add("bridges_supplies", lambda g: structure.find_bridges(g, WHOLE))
+add("articulation_points_supplies", lambda g: structure.find_articulation_points(g, WHOLE))
+
+
 def only(graph, *types: str):
     """The graph of some types and the nodes that they join."""
     ends = None
@@ -259,8 +268,8 @@ add("fiedler", lambda g: one(g.spark, fiedler=round(matrix.fiedler_value(g, FOLL
 add("spectral_partition", lambda g: matrix.spectral_partition(g, FOLLOWS))
 add("max_flow", lambda g: one(g.spark, value=round(flow.max_flow(g, USER_1, USER_1 + 1, FOLLOWS, "weight"), 6)))
 add("min_cut", lambda g: flow.min_cut(g, USER_1, USER_1 + 1, FOLLOWS, "weight")[1])
-add("label_propagation", lambda g: community.label_propagation_communities(g, R))
-add("louvain", lambda g: community.community_detection(g, R))
+add("label_propagation", lambda g: community.label_propagation_communities(g, WHOLE))
+add("louvain", lambda g: community.community_detection(g, WHOLE))
 add("greedy_modularity", lambda g: community.greedy_modularity_communities(g, R))
 add("connectivity", lambda g: one(g.spark, edge=flow.edge_connectivity(g, R), node=flow.node_connectivity(g, R)))
 
