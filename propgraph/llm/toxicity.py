@@ -32,7 +32,7 @@ HIDDEN, ATTENTION = 8, 8
 WORD_BITS, WORD_SIZE = 14, 8
 CHAR_BITS, CHAR_SIZE = 15, 12
 GRAMS = (3, 4, 5)
-SAMPLE = 6000
+SAMPLE = 8000
 WINDOWS = 200
 BATCH_WORDS = 100_000
 BATCH_WINDOWS = 1024
@@ -352,8 +352,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Net:
-    rows = sample(docs, labels, "toxic", FOLDS, FOLD, most, doc_id, text).toPandas().sort_values(["order", "doc_id"], kind="stable")
-    return train(rows["text"].tolist()[:most], [int(v > 0) for v in rows["y"]][:most])
+    rows = sample(docs, labels, "toxic", FOLDS, FOLD, most, doc_id, text).orderBy("order", "doc_id", "y", "text").limit(most).toPandas()
+    return train(rows["text"].tolist(), [int(v > 0) for v in rows["y"]])
 
 
 def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
