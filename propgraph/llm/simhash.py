@@ -218,8 +218,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document of least id, once. Rows without id stay."""
-    found = near_duplicates(docs, doc_id, text, size, radius)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    with_id = docs.join(stay, F.col(doc_id) == F.col("__stay"), "left_semi").dropDuplicates([doc_id])
-    return with_id.unionByName(docs.filter(F.col(doc_id).isNull()))
+    """The rows of ``docs`` that stay: of each component one, the least by id (null ids last), then by digest of the text."""
+    digest = F.unhex(F.md5(F.col(text)))
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", size, radius)
+    stay = found.filter("doc_id <=> component_id").select(F.col("doc_id.id").alias("__stay"), F.col("doc_id.digest").alias("__text")).distinct()
+    rows = docs.withColumn("__digest", digest)
+    rows = rows.join(stay, F.col(doc_id).eqNullSafe(F.col("__stay")) & F.col("__digest").eqNullSafe(F.col("__text")), "left_semi")
+    return rows.dropDuplicates([doc_id, "__digest"]).drop("__digest")
