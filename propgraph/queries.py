@@ -278,6 +278,10 @@ TOP = "d AS (SELECT n, count(*) AS k FROM (SELECT src AS n FROM f UNION ALL SELE
 add("top_degree_subgraph", lambda g: subgraph.top_degree(g, 20, FOLLOWS)[1].select("id", "src", "dst"), f"WITH {F_SQL}, {TOP} SELECT id, src, dst FROM f WHERE src IN (SELECT n FROM top) AND dst IN (SELECT n FROM top)")
 add("query_subgraph", lambda g: subgraph.of_query(g, "MATCH (a:User)-[:FOLLOWS]->(b:User) WHERE a.key < 20 RETURN id(a) AS a, id(b) AS b", 500, FOLLOWS)[0].select("id"), f"WITH {F_SQL} SELECT DISTINCT n AS id FROM (SELECT src AS n FROM f WHERE src < 7000000000020 UNION ALL SELECT dst FROM f WHERE src < 7000000000020)")
 
+# the view's own limit chooses among all users
+ALL_TOP = "d AS (SELECT n, count(*) AS k FROM (SELECT src AS n FROM f UNION ALL SELECT dst FROM f) GROUP BY 1)"
+add("query_subgraph_all", lambda g: subgraph.of_query(g, "MATCH (a:User)-[:FOLLOWS]->(b:User) RETURN id(a) AS a, id(b) AS b", 500, FOLLOWS)[0].select("id"), f"WITH {F_SQL}, {ALL_TOP} SELECT n AS id FROM d ORDER BY k DESC, n LIMIT 500")
+
 
 def queries() -> dict[str, Query]:
     from .power import queries as power
