@@ -14,9 +14,9 @@ threshold's angle are not multiplied. A tile pair gives each class's count of li
 group, so dense groups leave it as few rows as they have members.
 
 All-pairs tiles take work that grows with the square of the distinct vectors; the bounds make each
-pair cheap, not their number small. Vectors that are null, zero, of another length than the most
-common one, or hold null or non-finite components link with nothing: they have no links and stay. An
-empty table gives no rows; repeated ids are rows of their own.
+pair cheap, not their number small. Vectors of different lengths never link; each length is compared
+within itself. Vectors that are null, zero, or hold null or non-finite components link with nothing:
+they have no links and stay. An empty table gives no rows; repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def tile_pairs(a: Tile, b: Tile, threshold: float) -> Iterator[tuple[np.ndarray,
 
 def _compare(threshold: float):
     def run(key: tuple, batch: pa.Table) -> pa.Table:
-        p, q = (k.as_py() for k in key)
+        _, p, q = (k.as_py() for k in key)
         side = batch.column("tile").to_numpy()
         tiles = {}
         for t in {p, q}:
@@ -150,17 +150,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(sound, e).alias("e"))
     rows = cut(rows.withColumnRenamed("e", "vector"))
-    usual = rows.filter("vector IS NOT NULL").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = usual["d"] if usual else 0
-    rows = rows.withColumn("vector", F.when(F.size("vector") == width, F.col("vector")))
+    width = rows.filter("vector IS NOT NULL").agg(F.max(F.size("vector"))).first()[0] or 0
     classes = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = cut(classes.withColumn("key", F.monotonically_increasing_id()))
     n = classes.count()
     tiles = max(1, -(-n // min(tile, max(256, (1 << 19) // max(1, width)))))
     other = F.sequence(F.lit(0), F.lit(tiles - 1))
-    dealt = classes.select("key", "n", F.col("vector").alias("data"), F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int").alias("tile"))
-    dealt = dealt.withColumn("with", F.explode(other)).select("key", "n", "data", "tile", F.least("tile", "with").alias("p"), F.greatest("tile", "with").alias("q"))
-    found = cut(dealt.groupBy("p", "q").applyInArrow(_compare(threshold), "key long, root long, links long"))
+    dealt = classes.select("key", "n", F.col("vector").alias("data"), F.size("vector").alias("d"), F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int").alias("tile"))
+    dealt = dealt.withColumn("with", F.explode(other)).select("key", "n", "data", "d", "tile", F.least("tile", "with").alias("p"), F.greatest("tile", "with").alias("q"))
+    found = cut(dealt.groupBy("d", "p", "q").applyInArrow(_compare(threshold), "key long, root long, links long"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
