@@ -11,7 +11,9 @@ The slices between starts go through a bounded cache to pair merging by rank. By
 tokens are kept, so a span of ids can be mapped back to a span of bytes.
 
 Null text encodes as empty text: no ids, no bytes. A null id column value passes through. Repeated
-rows give repeated results. Other columns of the input are not looked at.
+rows give repeated results. Other columns of the input are not looked at, so names that clash with
+the result's do no harm. An empty table gives no rows. Of a very long text the code points, the bytes
+and the pre-tokens are held; classes, states and byte places are held for ``CHUNK`` code points only.
 """
 
 from __future__ import annotations
@@ -38,9 +40,35 @@ ENDINGS_2 = ("re", "ve", "ll")
 # Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
+# Letters and numbers that Unicode 16.0 assigns and the interpreter's tables (15.1) do not know yet.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A),
+    (0xA7CB, 0xA7CD),
+    (0xA7DA, 0xA7DC),
+    (0x105C0, 0x105F3),
+    (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389),
+    (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E),
+    (0x11390, 0x113B5),
+    (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1),
+    (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA),
+    (0x16100, 0x1611D),
+    (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF),
+    (0x1E5D0, 0x1E5ED),
+    (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+
 #: Stands between documents; no code point of a text.
 BREAK = 0x110000
-#: Code points scanned at once, so long texts need no more memory than short ones.
+#: Code points scanned at once.
 CHUNK = 1 << 20
 #: Pre-tokens kept in each of the cache's two generations.
 CACHE = 120_000
@@ -112,6 +140,9 @@ def _base_kinds() -> np.ndarray:
                 table[point] = LETTER
             elif c == "N":
                 table[point] = NUMBER
+        for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+            for first, last in ranges:
+                table[first : last + 1] = kind
         table[list(WHITE_SPACE)] = WHITE
         table[BREAK] = END
         _kinds.append(table)
@@ -161,16 +192,25 @@ def _scan(kind: np.ndarray, state: int) -> tuple[np.ndarray, int]:
     return before, after
 
 
-def starts(points: np.ndarray) -> np.ndarray:
-    """Indices in ``points`` at which a pre-token, or a break, starts."""
-    n, state, found = len(points), FRESH, []
+def starts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in ``points`` at which a pre-token, or a break, starts, and their places among the UTF-8 bytes (breaks take none)."""
+    n, state, found, places, passed = len(points), FRESH, [], [], 0
     points = np.concatenate([points, np.array([BREAK, BREAK], np.uint32)])
     for a in range(0, n, CHUNK):
         b = min(n, a + CHUNK)
+        own = points[a:b]
         kind = _classes(points[a : b + 2], b - a)
         before, state = _scan(kind, state)
-        found.append(np.flatnonzero(START[before.astype(np.intp) * 16 + kind]) + a)
-    return np.concatenate(found) if found else np.zeros(0, np.intp)
+        at = np.flatnonzero(START[before.astype(np.intp) * 16 + kind])
+        size = np.ones(b - a, np.int8)
+        for least in (0x7F, 0x7FF, 0xFFFF):
+            size += own > least
+        size[own == BREAK] = 0
+        ends = np.cumsum(size, dtype=np.int64)
+        found.append(at + a)
+        places.append(ends[at] - size[at] + passed)
+        passed += int(ends[-1])
+    return (np.concatenate(found), np.concatenate(places)) if found else (np.zeros(0, np.intp), np.zeros(0, np.int64))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -272,15 +312,9 @@ class Codec:
         mark = BREAK.to_bytes(4, "little")
         points = np.frombuffer(mark.join([t.encode("utf-32-le") for t in texts]) + mark, np.uint32)
         data = "".join(texts).encode()
-        at = starts(points)
-        size = np.ones(len(points), np.int8)
-        size += points > 0x7F
-        size += points > 0x7FF
-        size += points > 0xFFFF
-        size[points == BREAK] = 0
-        place = np.cumsum(size, dtype=np.int64) - size
+        at, places = starts(points)
         breaks = np.flatnonzero(points[at] == BREAK)
-        offsets = np.append(place[at], len(data)).tolist()
+        offsets = np.append(places, len(data)).tolist()
         is_text = points[at] != BREAK
         pieces = [data[a:b] for a, b, real in zip(offsets, offsets[1:], is_text.tolist()) if real]
         coded = self._pieces(pieces)

@@ -43,9 +43,28 @@ def test_bpe_long_pieces_and_chunks(monkeypatch):
     short = piece[:250]
     assert own._merge_long(short) == own.merge(short)
     text = "it's  we're \n\n a " * 50
-    whole = bpe.starts(bpe.np.frombuffer(text.encode("utf-32-le"), bpe.np.uint32)).tolist()
+    points = bpe.np.frombuffer((text + "é漢😀").encode("utf-32-le"), bpe.np.uint32)
+    whole = [x.tolist() for x in bpe.starts(points)]
     monkeypatch.setattr(bpe, "CHUNK", 7)
-    assert bpe.starts(bpe.np.frombuffer(text.encode("utf-32-le"), bpe.np.uint32)).tolist() == whole
+    assert [x.tolist() for x in bpe.starts(points)] == whole
+
+
+def test_bpe_class_of_every_code_point():
+    import tiktoken
+
+    single, points = {bytes([i]): i for i in range(256)}, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every, kinds = "".join(map(chr, points)), bpe._base_kinds()
+    for pattern, kind in ((r"\p{L}", bpe.LETTER), (r"\p{N}", bpe.NUMBER), (r"\s", bpe.WHITE)):
+        library = tiktoken.Encoding("one", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        assert bytes(library.encode_ordinary(every)).decode() == "".join(chr(c) for c in points if kinds[c] == kind)
+
+
+def test_bpe_code_points_in_several_contexts(spark):
+    own, theirs = bpe.codec(RANKS), plain(spark)
+    chars = [chr(c) for c in [*range(0x20), *range(0x20, 0x3500), *range(0xA000, 0xB000), *range(0xF900, 0x13500, 3), *range(0x14000, 0x32400, 41), *range(0x32400, 0x110000, 997)] if not 0xD800 <= c < 0xE000]
+    for texts in (["".join(chars)], ["".join(f"a{c}1{c} {c}'{c}s" for c in chars)], ["".join(f"!{c}{c}\n{c}b" for c in chars)]):
+        for text, (_, ids) in zip(texts, own.encode_batch(texts)):
+            assert ids.tolist() == theirs.encode_ordinary(text)
 
 
 def test_bpe_table(spark):
