@@ -1,9 +1,12 @@
 """Detection, surrogates, distinctness and coreference."""
 
+import ipaddress
 import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from propgraph.llm import pii
 
 from . import helpers
@@ -48,7 +51,7 @@ def test_surrogates_keep_type_and_format():
     assert first in pii.GIVEN["latin", "m"] and parts["name_f"][0].split()[0] in pii.GIVEN["latin", "f"]
     assert parts["name_m"][1].split()[0] in pii.GIVEN["cyrillic", "m"] and re.fullmatch("[А-я]+", parts["name_m"][1].split()[1])
     assert pii._iban_ok(parts["iban"][0]) and pii._luhn(re.sub(r"\D", "", parts["card"][0]))
-    assert parts["ipv4"][0].startswith("10.") and pii._ip_class(parts["ipv4"][1]) == pii._ip_class("8.8.4.4")
+    assert parts["ipv4"][0].startswith("10.") and ipaddress.ip_address(parts["ipv4"][1]).is_global
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", parts["phone"][0])
     assert re.fullmatch(r"[0-9a-f]{16}", parts["secret"][1]) and parts["access_key"][0].startswith("AKIA")
     a, b = parts["email"]
@@ -67,6 +70,10 @@ def test_permutations_are_distinct():
     rng = random.Random(3)
     ips = {".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(3000)}
     assert len({pii.step(pii.KEY, "ipv4", i) for i in ips}) == len(ips)
+    for net in ("192.168.0.0/16", "198.51.100.0/24", "172.16.0.0/12"):
+        own = [str(a) for _, a in zip(range(5000), ipaddress.ip_network(net))]
+        new = {pii.step(pii.KEY, "ipv4", i) for i in own}
+        assert len(new) == len(own) and all(ipaddress.ip_address(a) in ipaddress.ip_network(net) for a in new)
 
 
 def test_corpus(spark):
@@ -117,3 +124,101 @@ def test_awkward_rows(spark):
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[3] is None and text[2] == "" and "a.b@example.com" not in text[1] and "555-0147" not in text[1]
     assert pii.replace(helpers.empty(spark), spans="s").count() == 0
+
+
+def test_clean_numbers_and_versions_stay():
+    for text in (
+        "12 345 678 and 2024 123 4567, 3627072101032238, 2023-2024, 10:30, 127.0.0.1, 0.0.0.0",
+        "version 1.2.3.4, Release 10.20.30.40, v1.2.3.4, 300.1.2.3",
+        "Anna came and Mr went; Miss 7, Mrs. and Dr.",
+        "id 123456789012, 1234 567 89, 99 9999, ISBN 978-3-16-148410-0",
+    ):
+        assert pii.find(text) == [], text
+
+
+def test_long_email_locals_go_whole():
+    local = "ab.c_9" * 60
+    for text in (f"write {local}@mail.example.com now", f"x@y@{local}@mail.example.com"):
+        new, spans = pii.Rewriter(pii.KEY)(text)
+        assert text[spans[-1]["start"] : spans[-1]["end"]] == f"{local}@mail.example.com" and "ab.c" not in new
+    assert pii.find("@" * 50_000 + "a@" * 50_000) == []
+
+
+def test_iban_before_capitals():
+    text = "GB82 WEST 1234 5698 7654 32 ABCD EFGH"
+    assert [(k, text[a:b]) for a, b, k in pii.find(text)] == [("iban", "GB82 WEST 1234 5698 7654 32")]
+
+
+def test_mentions_of_a_name_stay_tied():
+    text = "Mrs Anna Becker met Dr Becker. Later Anna Becker and Becker spoke of Beckers, and Thomas Mann of Anna."
+    new, spans = pii.Rewriter(pii.KEY)(text)
+    assert [text[s["start"] : s["end"]] for s in spans] == ["Anna Becker", "Becker", "Anna Becker", "Becker", "Thomas Mann"]
+    first, last = new.split()[1:3]
+    assert first in pii.GIVEN["latin", "f"] and new.startswith(f"Mrs {first} {last} met Dr {last}. Later {first} {last} and {last} spoke of Beckers, and ")
+    again = pii.Rewriter(pii.KEY)("Dr Anna Becker, Ms Becker")[0]
+    assert again == f"Dr {first} {last}, Ms {last}"  # whatever the title, in every text
+
+
+def checked(spark, entities, text_of, pattern, **options):
+    """Surrogates of ``entities`` in order, held to what must be true whatever the method."""
+    docs = spark.createDataFrame([(i, text_of(e)) for i, e in enumerate(entities)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in pii.replace(docs, **options).collect()}
+    new = []
+    for i, e in enumerate(entities):
+        before, after = text_of("\0").split("\0")
+        assert rows[i].startswith(before) and rows[i].endswith(after), rows[i]
+        new.append(rows[i][len(before) : len(rows[i]) - len(after)])
+        assert re.fullmatch(pattern, new[-1]), new[-1]
+    assert len(set(new)) == len(set(entities)) and not set(new) & set(entities)
+    return new
+
+
+@pytest.mark.parametrize("share, inline", [(80, 0), (95, 1000), (100, 0)])
+def test_full_formats_are_left_for_wider_ones(spark, share, inline):
+    names = [c + v for c in pii.ALPHABETS[4] for v in pii.ALPHABETS[1]]
+    names = names[: len(names) * share // 100]
+    checked(spark, names, lambda n: f"Dear Mr {n}, good day", "[A-Z][a-z]+", inline=inline)
+
+
+def test_full_email_formats_keep_domains(spark):
+    digits = [f"{d}-{t}" for d in range(10) for t in range(10)]
+    new = checked(spark, [f"{x[0]}@{x[2]}0.example.com" for x in digits], lambda e: f"to {e} now", r"\d+[a-z]*@[a-z0-9.]+")
+    assert len({e.partition("@")[2] for e in new}) == len({x[2] for x in digits})  # a domain keeps one surrogate
+
+
+def test_full_networks_move_to_wider_addresses(spark):
+    addresses = [f"203.0.113.{b}" for b in range(256)]
+    docs = spark.createDataFrame([(a, " ".join(addresses[a * 64 : a * 64 + 64])) for a in range(4)], "doc_id long, text string")
+    new = " ".join(r["text"] for r in pii.replace(docs).collect()).split()
+    assert len(new) == len(set(new)) == len(addresses) and not set(new) & set(addresses)
+
+
+def test_kinds_do_not_share_surrogates(spark):
+    rng = random.Random(9)
+    ssn = [f"{rng.randrange(10**9):09d}" for _ in range(300)]
+    phones = [f"{rng.randrange(2, 10)}{rng.randrange(10**9):09d}" for _ in range(300)]
+    rows = [(i, f"{s[:3]}-{s[3:5]}-{s[5:]} or {p[:3]}-{p[3:6]}-{p[6:]}") for i, (s, p) in enumerate(zip(ssn, phones))]
+    text = " ".join(r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    found = [x.replace("-", "") for x in re.findall(r"[\d-]{9,}", text)]
+    assert len(found) == 600 == len(set(found)) and not set(found) & {*ssn, *phones}
+
+
+def test_spans_column_must_be_new(spark):
+    with pytest.raises(ValueError):
+        pii.replace(helpers.awkward(spark), spans="lang")
+
+
+def test_query(spark):
+    from propgraph.llm.queries import op8_pii
+
+    rows = op8_pii(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["doc_id", "text", "n_found", "kinds"]
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    # what the tables plant, by patterns of the test's own
+    plain = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<=token = \")[0-9a-f]{40}|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)")
+    for r in rows.collect():
+        old = before[r["doc_id"]]
+        for e in plain.findall(old or ""):
+            assert e not in r["text"], e
+        if not re.search(r"\d|@", old or ""):
+            assert r["text"] == old and r["n_found"] == 0
