@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,17 +16,27 @@ from ..graph import PropertyGraph, col
 
 #: Edges that a per-source kernel may hold in each worker (two arrays of longs and one of doubles).
 KERNEL_EDGES = 4_000_000
+#: Keys with over this share (one in so many) of all rows are met by a broadcast.
+HOT = 2000
 
 
 class TooLarge(ValueError):
     """A graph over the bound of a kernel that has no other form."""
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, so that plans of loops stay short and lost executors cost a read."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # only where the cluster names none
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; steps that write between jobs need a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="propgraph-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that plans of loops stay short and lost executors cost a read."""
+    shared_folder(df.sparkSession)
     # Constraints that a plan carries through a checkpoint can name columns that a later union does not have.
     conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(key)
@@ -36,6 +47,42 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, weight: str, total: int, how: str = "inner", few: int = 0) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key, and in ``weight`` how many rows of ``rows`` it meets.
+
+    Keys with over 1 / ``HOT`` of all ``total`` rows, fewer than ``HOT``, meet their rows by a broadcast;
+    the others in a shuffle, where none of them is large. So no key gathers its rows in one task. With
+    ``how`` left, rows without a match stay. Up to ``few`` rows one join does the same with less planning.
+    """
+    least = max(1, total // HOT)
+    columns = [c for c in table.columns if c not in (table_key, weight)]
+    if total <= few:
+        return rows.join(table.select(F.col(table_key).alias("·cold"), *columns), F.col(key) == col("·cold"), how).drop("·cold")
+    hot = table.filter(F.col(weight) > least).select(F.col(table_key).alias("·hot"), F.struct(*columns).alias("·found"))
+    cold = table.filter(F.col(weight) <= least).select(F.col(table_key).alias("·cold"), *columns)
+    met = rows.join(F.broadcast(hot), F.col(key) == col("·hot"), "left")  # fewer than HOT rows
+    at_once = met.filter("`·hot` IS NOT NULL").select(*rows.columns, *[F.col("`·found`")[c].alias(c) for c in columns])
+    rest = met.filter("`·hot` IS NULL").select(*rows.columns).join(cold, F.col(key) == col("·cold"), how).drop("·cold")
+    return at_once.unionByName(rest)
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``place``: 0, 1, ... along ``order``.
+
+    Ranges of the order are numbered side by side; the offsets of ranges come from their counts, one row
+    a range. The rows are written in between, so that both steps see the same ranges.
+    """
+    spark = df.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(df.repartitionByRange(ranges, *order).withColumn("·range", F.spark_partition_id()))
+    counts = dealt.groupBy("·range").agg(F.count("*").alias("·n"))
+    before = F.coalesce(F.sum("·n").over(Window.orderBy("·range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("·range", before.alias("·before"))
+    rank = F.row_number().over(Window.partitionBy("·range").orderBy(*order)) - 1
+    rows = dealt.withColumn("·rank", rank).join(F.broadcast(offsets), "·range")  # one row a range
+    return rows.select(*df.columns, (F.col("·before") + F.col("·rank")).cast("long").alias("place"))
+
+
 def number(c: Column, kind: T.DataType, default: float = 1.0) -> Column:
     """A weight: missing, zero and what is no number count as ``default``."""
     value = c.try_cast("double") if isinstance(kind, T.StringType) else c.cast("double")

@@ -4,8 +4,9 @@ Edges are replaced round by round: every node links its larger neighbours to the
 sees (large star), then every node links its smaller neighbours to the least of them (small star).
 After a number of rounds that grows with the logarithm of the longest chain, each edge joins a node
 to its component's least node. Nothing but one count and one checksum a round reaches the driver.
-Minima are summed up per task before rows move, and hub nodes only ever meet their edges in joins
-whose large partitions Spark splits.
+Minima are summed up per task before rows move, and a hub's least neighbour reaches its edges by a
+broadcast (``common.lookup``), so no node gathers its edges in one task. Nodes may be of any type that
+has an order.
 """
 
 from __future__ import annotations
@@ -13,24 +14,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
+
+
+#: Edges of which one node may gather all in one task.
+FEW = 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    out = both.filter("b > a").join(least, F.col("a") == F.col("n")).filter("b <> m")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("w")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"), "w")
+    out = lookup(both.filter("b > a"), "a", least, "n", "w", 2 * n, few=FEW).filter("b <> m")
     return out.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Edges run from the larger node a to the smaller b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-    out = edges.join(least, F.col("a") == F.col("n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("w")).withColumnRenamed("a", "n")
+    out = lookup(edges, "a", least, "n", "w", n, few=FEW).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 
 
@@ -40,7 +45,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(edges)
     state = _state(edges)
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges, state[0]), state[0]))  # a large star has no more edges than there were
         if (now := _state(edges)) == state:
             break
         state = now
