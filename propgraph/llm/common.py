@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import cut, lookup, shared_folder
+
+__all__ = ["SPACES", "WORD", "cut", "held_out", "lookup", "n_words", "read", "shared_folder", "words"]
+
 #: Words are runs of characters other than these: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
@@ -16,24 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder, which ends its lineage.
-
-    A lost executor then costs a read of the written rows, not a new run of what made them.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # only where the cluster names none, as in tests
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="propgraph-"))
-    # Constraints that a plan carries through a checkpoint can name columns that a later union does not have.
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
-
-
 def words(text: Column) -> Column:
     """The words of ``text``; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+")

@@ -16,7 +16,9 @@ group, so dense groups leave it as few rows as they have members.
 All-pairs tiles take work that grows with the square of the distinct vectors; the bounds make each
 pair cheap, not their number small. Vectors of different lengths never link; each length is compared
 within itself. Vectors that are null, zero, or hold null or non-finite components link with nothing:
-they have no links and stay. An empty table gives no rows; repeated ids are rows of their own.
+they have no links and stay. An empty table gives no rows; repeated ids are rows of their own, and a
+null id takes part in links but names no component unless its component has no other. Only the id and
+embedding columns are looked at, so names of others do not matter.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from ..operators.components import components
+from .common import cut, lookup
 
 THRESHOLD = 0.9
-TILE = 4096
+TILE = 16_384
+#: Doubles that a tile may hold, whatever the width of its vectors.
+TILE_VALUES = 1 << 20
 #: Rows multiplied at once within a tile pair.
 STRIP = 512
 
@@ -150,20 +154,25 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(sound, e).alias("e"))
     rows = cut(rows.withColumnRenamed("e", "vector"))
-    width = rows.filter("vector IS NOT NULL").agg(F.max(F.size("vector"))).first()[0] or 0
     classes = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = cut(classes.withColumn("key", F.monotonically_increasing_id()))
-    n = classes.count()
-    tiles = max(1, -(-n // min(tile, max(256, (1 << 19) // max(1, width)))))
+    n, total, width = classes.agg(F.count("*"), F.sum("n"), F.max(F.size("vector"))).first()
+    most = min(tile, max(256, TILE_VALUES // max(1, width or 0)))
+    tiles = max(1, -(-n // max(min(1024, most), min(most, n // 16))))  # some tiles in any case, so that pairs of them spread
     other = F.sequence(F.lit(0), F.lit(tiles - 1))
     dealt = classes.select("key", "n", F.col("vector").alias("data"), F.size("vector").alias("d"), F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int").alias("tile"))
     dealt = dealt.withColumn("with", F.explode(other)).select("key", "n", "data", "d", "tile", F.least("tile", "with").alias("p"), F.greatest("tile", "with").alias("q"))
     found = cut(dealt.groupBy("d", "p", "q").applyInArrow(_compare(threshold), "key long, root long, links long"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").join(counts, "key", "left").select(F.col("vector").alias("v"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    linked = rows.filter("vector IS NOT NULL").join(named, F.col("vector") == F.col("v")).select("vec_id", F.col("links").alias("n_links"), "component_id")
+    # a node is a class with its least id, ordered by that, so a component's root carries its name
+    node = classes.select("key", F.struct(F.col("least").isNull().alias("none"), "least", "key").alias("node"))
+    near = found.filter("key <> root").select("key", "root")
+    for side in ("key", "root"):
+        near = near.join(node.select(F.col("key").alias(side), F.col("node").alias(f"node_{side}")), side)
+    roots = components(near, "node_key", "node_root").select(F.col("node.key").alias("key"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
+    named = classes.join(roots, "key", "left").join(counts, "key", "left")
+    name = F.when(F.col("linked"), F.col("top")).otherwise(F.col("least"))
+    named = named.select(F.col("vector").alias("v"), "n", name.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    linked = lookup(rows.filter("vector IS NOT NULL"), "vector", named, "v", "n", total or 0).select("vec_id", "n_links", "component_id")
     alone = rows.filter("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -15,7 +15,10 @@ fingerprint to fingerprint drops what it has reached, so thousands of copies cos
 their number, and links leave a band as a star.
 
 Empty and null texts have fingerprint zero, linked like any other. A null id takes part in links but
-names no component unless its component has no other. Repeated rows share a fingerprint.
+names no component unless its component has no other. Repeated rows share a fingerprint. An empty
+table gives no rows. Whole texts are read: a very long one is hashed shingle by shingle and its bits
+are counted ``BATCH`` shingles at a time. Only the id and text columns are looked at, so names of
+others do not matter; ``deduplicate`` returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from ..operators.components import components
+from .common import cut, lookup
 
 SHINGLE = 4
 RADIUS = 4
@@ -207,18 +210,30 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = BAND) -
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document; the component is named by its least id."""
+    """``doc_id, fp, component_id`` of every document; the component is named by its least id.
+
+    A node is a fingerprint together with the least id that has it, ordered by that id, so the root of a
+    component carries the component's name. Fingerprints that many documents share meet them by a
+    broadcast (``lookup``).
+    """
     prints = cut(fingerprints(docs, doc_id, text, size))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct, distinct.count(), radius))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.select("fp", "root").join(names, "root").select(F.col("fp").alias("print"), "component_id")
-    return prints.join(by_print, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+    node = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).select("fp", "n", node.alias("node")))
+    found = distinct.agg(F.count("*"), F.sum("n")).first()
+    near = links(distinct, found[0], radius)
+    for side in ("a", "b"):
+        near = near.join(distinct.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}")), side)
+    roots = components(near, "node_a", "node_b").select(F.col("node.fp").alias("print"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
+    by_print = distinct.join(roots, F.col("fp") == F.col("print"), "left")
+    by_print = by_print.select(F.col("fp").alias("print"), "n", F.when(F.col("linked"), F.col("top")).otherwise(F.col("node.least")).alias("component_id"))
+    return lookup(prints, "fp", by_print, "print", "n", found[1] or 0).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one, the least by id (null ids last), then by digest of the text."""
+    """The rows of ``docs`` that stay: of each component one, the least by id (null ids last), then by digest of the text.
+
+    Exactly repeated rows are told apart by nothing; of those that stay the first met does.
+    """
     digest = F.unhex(F.md5(F.col(text)))
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
     found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", size, radius)

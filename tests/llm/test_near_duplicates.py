@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from propgraph.llm import components, embed_dedup, simhash
+from propgraph.llm import embed_dedup, simhash
+from propgraph.operators import components
 
 from . import helpers
 
