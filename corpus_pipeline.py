@@ -2,18 +2,20 @@
 
 Toxic documents go, one document of each group of near-copies stays, personal data becomes
 surrogates, sources are mixed to their target weights, and the result is encoded. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Every stage takes null, empty and very long texts, null and
+repeated ids, repeated rows, further columns and empty tables as its operator's docstring says; exactly
+repeated rows and copies leave one row at the second stage. A stage's rows are removed when the next
+stage's are written.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from propgraph.llm import bpe, mixing, pii, simhash, toxicity
-from propgraph.llm.common import read
+from propgraph.llm.common import read, shared_folder
 from propgraph.llm.queries import RANKS, tokenizer_path
 
 
@@ -56,10 +58,18 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each result is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -6,7 +6,9 @@ stretches that repeated windows cover are added up, all inside the row: a text o
 n log n and no shuffle. Windows are compared by 64-bit hashes; at 20,000 windows a text two
 different ones meet with a chance of about 1e-11.
 
-Null text counts as empty: all statistics 0, ``base_failed``. Empty tables give no rows.
+Null text counts as empty: all statistics 0, ``base_failed``. A null id passes through, repeated rows
+are judged alike, and very long texts are read whole. Empty tables give no rows. Only the id and text
+columns are looked at, so names of others do not matter.
 """
 
 from __future__ import annotations

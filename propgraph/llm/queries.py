@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, mixing, pii, quality_rules, rule_ensemble, sharding, simhash, token_counts, toxicity
-from .common import held_out, read
+from .common import held_out, read, shared_folder
 
 try:
     import public_tokenizers
@@ -30,7 +31,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shard(read(spark, sf_dir, "documents"), shards=24)
+    rows = sharding.shard(read(spark, sf_dir, "documents"), shards=24, map_path=f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

@@ -7,7 +7,10 @@ the logistic of the kept rules' weights. Scoring therefore runs no Python.
 
 The fit sees at most ``SAMPLE`` labelled rows (those of least crc32 of the id), as a table of
 numbers. Null and empty texts have all statistics 0 and are scored like others. Without labels of
-both classes every score is the share of good labels, or 0.5 without labels.
+both classes every score is the share of good labels, or 0.5 without labels. Rows of a repeated id
+are rows of their own in the fit and score alike; labels with a null id or value are not used; very
+long texts are read whole. An empty table gives no rows. Only the id and text columns are looked at, so
+names of others do not matter.
 """
 
 from __future__ import annotations

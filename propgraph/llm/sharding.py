@@ -6,7 +6,10 @@ version moves as few slots as evenness allows. What reaches the driver is one ro
 that does not grow with the data.
 
 Null or empty text has 0 bytes and the checksum of empty text. A null id hashes like any other
-value. Rows that repeat exactly share a slot. An empty table gives no rows.
+value. Records hash by id and text together, so equal texts of different ids lie in different slots
+and may lie in different shards; rows that repeat exactly share a slot unless one record has more rows
+than a slot has on average, which are then dealt over all slots. A very long text is one record of its
+size. Columns besides id and text are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +83,52 @@ class SlotMap:
         return replace(self, version=self.version + 1, shards=shards, shard_of=tuple(owner), moved=tuple(sorted(moved)))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the map's table; earlier versions stay."""
+        """Add this version to the map's table. Versions are never written over."""
         rows = [(slot, shard, self.shards) for slot, shard in enumerate(self.shard_of)]
         frame = spark.createDataFrame(rows, "slot int, shard int, shards int").coalesce(1)
-        frame.write.mode("overwrite").parquet(f"{path}/version={self.version}")
+        frame.write.mode("errorifexists").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        table = spark.read.option("basePath", path).parquet(path)
+        table = spark.read.option("basePath", path).schema("slot int, shard int, shards int, version int").parquet(path)
         version = version or table.agg(F.max("version")).first()[0]
         rows = table.filter(F.col("version") == version).orderBy("slot").collect()
         return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
+def stored(spark: SparkSession, path: str, sizes: list[int], shards: int) -> SlotMap:
+    """The map at ``path`` for these sizes: made there, or the latest version edited; read back as the table has it."""
+    try:
+        held = SlotMap.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    new = held.rebalance(sizes, shards) if held else SlotMap.fill(sizes, shards)
+    if held is None or new.moved or new.shards != held.shards:
+        new.save(spark, path)
+    return SlotMap.load(spark, path)
+
+
+def dealt(rows: DataFrame, slots: int) -> DataFrame:
+    """``rows`` with records that repeat more often than a slot has rows on average dealt over all slots.
+
+    Fewer records than slots can repeat so often; only slots that are far over the average are searched.
+    """
+    counts = slot_sizes(rows, slots)[1]
+    mean = max(1, sum(counts) // slots)
+    full = [i for i, n in enumerate(counts) if n > 4 * mean]
+    if not full:
+        return rows
+    key = ["doc_id", "text_crc32", "size"]
+    often = rows.filter(F.col("virtual_slot").isin(full)).groupBy(*key).count().filter(F.col("count") > mean)
+    own = F.struct(*key)
+    often = F.broadcast(often.select(own.alias("often")))  # fewer rows than slots
+    spread = F.pmod(F.xxhash64(*key, F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    rows = rows.withColumn("spread", spread).join(often, own == F.col("often"), "left")  # two structs compare equal where both fields are null
+    return cut(rows.select(*key, F.when(F.col("often").isNotNull(), F.col("spread")).otherwise(F.col("virtual_slot")).alias("virtual_slot")))
+
+
 def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Id, size, checksum and virtual slot of each record."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -114,15 +151,16 @@ def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
 def shard(docs: DataFrame, shards: int = 24, slot_map: SlotMap | None = None, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Put every record into a shard, and number the records of each shard from 0.
 
-    Returns ``doc_id, size, text_crc32, virtual_slot, shard, slot, map_version``. Without ``slot_map``
-    one is made for even bytes and, with ``map_path``, stored there. Numbering runs within virtual
-    slots side by side; the slots' offsets come from their counts.
+    Returns ``doc_id, size, text_crc32, virtual_slot, shard, slot, map_version``. With ``map_path`` the
+    map stored there is used, edited to a next version if these sizes ask for it, or made; else
+    ``slot_map``, or one made for even bytes. Numbering runs within virtual slots side by side; the
+    slots' offsets come from their counts.
     """
-    rows = cut(records(docs, doc_id, text, slots))
+    rows = dealt(cut(records(docs, doc_id, text, slots)), slots)
     sizes, counts = slot_sizes(rows, slots)
-    slot_map = slot_map or SlotMap.fill(sizes, shards)
     if map_path:
-        slot_map.save(docs.sparkSession, map_path)
+        slot_map = stored(docs.sparkSession, map_path, sizes, shards)
+    slot_map = slot_map or SlotMap.fill(sizes, shards)
     used, table = [0] * slot_map.shards, []
     for slot, owner in enumerate(slot_map.shard_of):
         table.append((slot, owner, used[owner]))

@@ -12,7 +12,8 @@ in no piece costs the least score less 10 and counts one token a byte. The trie
 are dropped when they reach a bound, so memory does not grow with the text; very long pre-tokens are
 computed without entering it.
 
-Null and empty texts have no tokens. Repeated rows have equal counts.
+Null and empty texts have no tokens. A null id passes through; repeated rows have equal counts. An
+empty table gives no rows. Only the id and text columns are looked at, so names of others do not matter.
 """
 
 from __future__ import annotations

@@ -117,6 +117,41 @@ def test_slot_map_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard_of == first.shard_of
 
 
+def test_stored_map_is_edited_and_never_written_over(spark, tmp_path):
+    path, table = str(tmp_path / "map"), spark.read.parquet(f"{SF}/documents.parquet")
+    first = sharding.shard(table, 24, map_path=path)
+    assert {r["map_version"] for r in first.select("map_version").distinct().collect()} == {1}
+    one = sharding.SlotMap.load(spark, path)
+    grown = sharding.shard(table, 25, map_path=path).collect()
+    two = sharding.SlotMap.load(spark, path)
+    assert two.version == 2 and two.shards == 25 and {r["map_version"] for r in grown} == {2}
+    assert sharding.SlotMap.load(spark, path, 1) == one and all(r["shard"] == two.shard_of[r["virtual_slot"]] for r in grown)
+    with pytest.raises(Exception):
+        one.save(spark, path)
+    assert sharding.SlotMap.load(spark, path, 1) == one
+
+
+def test_a_record_repeated_many_times_is_dealt_over_the_shards(spark):
+    rows = [(None, "the same row", None)] * 3000 + [(i, f"text {i}", "x") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    out = sharding.shard(table, 24).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+    load, held = Counter(), defaultdict(list)
+    for r in out:
+        load[r["shard"]] += r["size"]
+        held[r["shard"]].append(r["slot"])
+    assert max(load.values()) < 1.02 * min(load.values()) and all(sorted(v) == list(range(len(v))) for v in held.values())
+
+
+def test_mixed_rows_of_one_id_and_size_are_chosen_alike(spark):
+    rows = [(1, f"text number {chr(97 + i)}", "s") for i in range(20)] + [(None, f"text number {chr(97 + i)}", None) for i in range(9)]
+    out = []
+    for parts in (1, 5):
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out.append(Counter((r["doc_id"], r["text"]) for r in mixing.mixed(table).collect()))
+    assert out[0] == out[1] and sum(out[0].values()) > 0
+
+
 def water(sizes, weights, total):
     """Targets by the words of the rule: share, stop, reshare."""
     target, open_, left = {}, set(sizes), total

@@ -1,5 +1,6 @@
 """The network's gradients, windows and held-out accuracy."""
 
+import re
 import zlib
 
 import numpy as np
@@ -75,3 +76,60 @@ def test_awkward_rows_and_no_labels(spark):
     none = toxicity.fit(table, labels.limit(0))
     assert {r["score"] for r in toxicity.score(table, none).collect()} == {0.0}
     assert toxicity.reject(table, none).count() == table.count()
+
+
+def by_hand(net, text):
+    """The score of a text by plain loops over its words, in double precision."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    h = toxicity.HIDDEN
+    words = re.findall(r"\w+", text.lower())
+
+    def vector(word):
+        code, buckets = f"<{word}>".encode(), []
+        for n in toxicity.GRAMS:
+            for i in range(len(code) - n + 1):
+                mixed = n
+                for byte in code[i : i + n]:
+                    mixed = (mixed * 0x01000193 + byte) % 2**32
+                buckets.append(mixed * 2654435761 % 2**32 >> 32 - toxicity.CHAR_BITS)
+        return np.concatenate([p["word"][toxicity.grams_of([word])[0][0]], np.mean([p["char"][g] for g in buckets], axis=0)])
+
+    def gru(xs, side):
+        w, b, u = p["w"][:, side * 3 * h : (side + 1) * 3 * h], p["b"][side * 3 * h : (side + 1) * 3 * h], p["u"][side]
+        state, out = np.zeros(h), []
+        for x in xs:
+            g, m = x @ w + b, state @ u
+            z, r = 1 / (1 + np.exp(-g[:h] - m[:h])), 1 / (1 + np.exp(-g[h : 2 * h] - m[h : 2 * h]))
+            state = (1 - z) * np.tanh(g[2 * h :] + r * m[2 * h :]) + z * state
+            out.append(state)
+        return out
+
+    best = -np.inf
+    for a in range(0, max(1, len(words)), toxicity.STRIDE):
+        xs = [vector(w) for w in words[a : a + toxicity.SPAN]]
+        states = [np.concatenate(x) for x in zip(gru(xs, 0), gru(xs[::-1], 1)[::-1])]
+        weight = np.exp([np.tanh(s @ p["a"]) @ p["v"] for s in states])
+        best = max(best, sum(w * s for w, s in zip(weight / weight.sum(), states)) @ p["o"] + p["c"][0])
+        if a + toxicity.SPAN >= len(words):
+            break
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), most=300)
+    texts = [r["text"] for r in docs.filter("doc_id % 97 = 3").collect()] + ["one", "Ünïcode ñandú 漢字 x", "a b " * 40]
+    got = toxicity.scores(net, texts)
+    for text, s in zip(texts, got):
+        assert abs(by_hand(net, text) - s) < 1e-4
+
+
+def test_sample_holds_whole_texts_within_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (500 if i == 3 else 10)) for i in range(40)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: (texts, y))
+    texts, y = toxicity.fit(docs, labels)
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(texts) == len(free) == len(y) and sorted(map(len, texts))[-1] == (1000 if 3 in free else 20)
+    less, _ = toxicity.fit(docs, labels, characters=200)
+    assert 0 < len(less) <= 10 and sum(map(len, less)) <= 200 and {len(t) for t in less} == {20}
