@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from . import kernels
-from .common import both_ways, cut, edges, one_group, simple, vertices
+from .common import both_ways, cut, edges, one_group, placed, simple, vertices
 from .traverse import numbered
 
 
@@ -42,7 +43,7 @@ def greedy_modularity_communities(graph: PropertyGraph, rel_type: str | None = N
     """``node_id, component`` by greedy merging, the largest first."""
     found = _by_kernel(graph, rel_type, None, kernels.modularity_merge)
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    order = sizes.select("root", (F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1).cast("long").alias("component"))
+    order = placed(sizes, F.desc("size"), F.col("root")).select("root", F.col("place").alias("component"))
     return found.join(order, "root").select("node_id", "component")
 
 
@@ -58,7 +59,7 @@ def modularity(graph: PropertyGraph, communities: DataFrame, rel_type: str | Non
     return inside / m - float(degree.agg(F.sum(F.col("a") * F.col("a"))).first()[0])
 
 
-def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = None, max_rounds: int = 40) -> DataFrame:
+def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:
     """``node_id, component``: nodes take the label most of their neighbours have, of equal ones their own if it is among them, else the greatest.
 
     Each round a half of the nodes, by a hash of id and round, moves, so that neighbours do not swap
@@ -66,7 +67,7 @@ def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = N
     """
     e = cut(both_ways(simple(edges(graph, rel_type))).select("src", "dst"))
     state = cut(vertices(graph, rel_type).select("node_id", F.col("node_id").alias("label")))
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         votes = e.join(state, F.col("dst") == F.col("node_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
         own = state.select(F.col("node_id").alias("src"), F.col("label").alias("own"))
         best = votes.join(own, "src").groupBy("src").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("same"), "label")).alias("b")).select("src", F.col("b.label").alias("new"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from .common import TooLarge, both_ways, collected, edges, vertices
+from .common import TooLarge, both_ways, collected, edges, placed, vertices
 
 #: Nodes of a dense eigenproblem on the driver (a matrix of 4,000^2 doubles is 128 MB).
 DENSE = 4000
@@ -15,7 +15,7 @@ DENSE = 4000
 
 def node_index(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:
     """``node_id, i``: places by ascending id."""
-    return vertices(graph, rel_type).withColumn("i", F.row_number().over(Window.orderBy("node_id")) - 1).withColumn("i", F.col("i").cast("long"))
+    return placed(vertices(graph, rel_type), F.col("node_id")).withColumnRenamed("place", "i")
 
 
 def adjacency_matrix(graph: PropertyGraph, rel_type: str | None = None, undirected: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from . import kernels
-from .common import Csr, both_ways, edges, simple, vertices
+from .common import KERNEL_EDGES, Csr, TooLarge, both_ways, cut, edges, simple, vertices
 from .traverse import is_connected, roots
 
 
@@ -75,9 +75,14 @@ def clustering_global(graph: PropertyGraph, rel_type: str | None = None) -> floa
 
 
 def _cuts(graph: PropertyGraph, rel_type: str | None) -> DataFrame:
-    """``kind, id``: bridges (relationship ids) and articulation points (node ids), component by component."""
+    """``kind, id``: bridges (relationship ids) and articulation points (node ids), component by component.
+
+    A component's edges meet in one task, after a check that none has over ``KERNEL_EDGES`` of them.
+    """
     e = both_ways(edges(graph, rel_type).filter("src <> dst")).select("src", "dst", "rel_id")
-    tagged = e.join(roots(graph, rel_type).withColumnRenamed("node_id", "src"), "src")
+    tagged = cut(e.join(roots(graph, rel_type).withColumnRenamed("node_id", "src"), "src"))
+    if not tagged.groupBy("root").count().filter(F.col("count") > 2 * KERNEL_EDGES).isEmpty():
+        raise TooLarge(f"a component of over {KERNEL_EDGES} edges")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64)

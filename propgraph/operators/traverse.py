@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from . import kernels
-from .common import both_ways, collected, cut, edges, per_source, simple, small, vertices
+from .common import both_ways, collected, cut, edges, per_source, placed, simple, small, vertices
 from .components import components
 
 PATH = "array<struct<node_id: bigint, rel_id: bigint>>"
@@ -17,9 +17,8 @@ PATH = "array<struct<node_id: bigint, rel_id: bigint>>"
 
 def numbered(found: DataFrame, node: str = "node_id", root: str = "root") -> DataFrame:
     """``node_id, component``: components numbered from 0 by their least node."""
-    roots = found.select(root).distinct()
-    order = roots.withColumn("component", F.row_number().over(Window.orderBy(root)) - 1)
-    return found.join(order, root).select(F.col(node).alias("node_id"), F.col("component").cast("long").alias("component"))
+    order = placed(found.select(root).distinct(), F.col(root)).withColumnRenamed("place", "component")
+    return found.join(order, root).select(F.col(node).alias("node_id"), "component")
 
 
 def roots(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:

@@ -22,9 +22,6 @@ from . import ast as A
 from .lexer import CypherError
 from .parser import parse
 
-#: Levels that an unbounded pattern may take.
-MAX_HOPS = 64
-
 
 @dataclass(frozen=True)
 class Binding:
@@ -201,10 +198,19 @@ class Compiler:
             return Rows(out.df.select(*[col(c) for c in dict.fromkeys(used)]), out.scope)
         both = Rows(rows.df.limit(0).crossJoin(right.limit(0)), scope)
         simple = [t for t in tests if not isinstance(t, A.Exists) and not (isinstance(t, A.Unary) and isinstance(t.x, A.Exists))]
-        if len(simple) < len(tests) or any(isinstance(x, A.Exists) for x in A.walk(simple)):
-            raise CypherError("EXISTS in the WHERE of an OPTIONAL MATCH is not supported")
         for t in extra:
             on = on & t(both)
+        if len(simple) < len(tests) or any(isinstance(x, A.Exists) for x in A.walk(simple)):
+            # what matches is found over the distinct rows, existence tests by semi joins, and joined back to all rows
+            keys = rows.df.distinct()
+            hit = self.filter(Rows(keys.join(right, on), scope), tests).df
+            same = F.lit(True)
+            for c in rows.df.columns:
+                key = self.name("k")
+                hit = hit.withColumnRenamed(c, key)
+                same = same & col(c).eqNullSafe(col(key))
+            out = rows.df.join(hit, same, "left")
+            return Rows(out.select(*[col(c) for c in dict.fromkeys(used)] or [col("·one")]), scope)
         for t in simple:
             on = on & self.expr(t, both)
         out = rows.df.join(right, on, "left")
@@ -407,11 +413,9 @@ class Compiler:
             longer = level.join(edges, col("·to") == col("·at")).filter(~F.array_contains("·rels", col("·id")))
             level = longer.select("·from", col("·next").alias("·to"), F.concat("·rels", F.array("·id")).alias("·rels"), F.concat("·via", F.array("·to")).alias("·via"))
             depth += 1
-            if high is None:
+            if high is None:  # ends: no trail has more steps than there are relationships
                 from ..operators.common import cut
 
-                if depth > MAX_HOPS:
-                    raise CypherError(f"an unbounded pattern went over {MAX_HOPS} steps")
                 level = cut(level)
                 if level.isEmpty():
                     break
@@ -433,10 +437,9 @@ class Compiler:
 
         level = cut(least(begin.select("·from", "·to", F.array("·id").alias("·rels"), none.alias("·via"))))
         edges = flat.select(col("·from").alias("·at"), col("·to").alias("·next"), "·id")
-        done = level
-        for _ in range(2, (high or MAX_HOPS) + 1):
-            if level.isEmpty():
-                break
+        done, depth = level, 1
+        while (high is None or depth < high) and not level.isEmpty():
+            depth += 1
             longer = level.join(edges, col("·to") == col("·at"))
             longer = longer.select("·from", col("·next").alias("·to"), F.concat("·rels", F.array("·id")).alias("·rels"), F.concat("·via", F.array("·to")).alias("·via"))
             level = cut(least(longer.join(done, ["·from", "·to"], "left_anti")))

@@ -108,7 +108,13 @@ class _Writer:
         return out
 
     def numbered(self, df: DataFrame, name: str, first: int) -> DataFrame:
-        return cut(df.withColumn(name, (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1 + first).cast("long")))
+        """Ids for new rows: those of one task follow one another, and the tasks' offsets come from their counts."""
+        rows = cut(df.withColumn("·task", F.spark_partition_id()).withColumn("·at", F.monotonically_increasing_id()))
+        before = F.coalesce(F.sum("·n").over(Window.orderBy("·task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = rows.groupBy("·task").agg(F.count("*").alias("·n"), F.min("·at").alias("·first")).select(F.col("·task").alias("·t"), before.alias("·before"))
+        rank = F.row_number().over(Window.partitionBy("·task").orderBy("·at")) - 1
+        rows = rows.withColumn("·rank", rank).join(F.broadcast(offsets), F.col("`·task`") == F.col("`·t`"))  # one row a task
+        return cut(rows.withColumn(name, (F.col("`·before`") + F.col("`·rank`") + first).cast("long")).drop("·task", "·at", "·rank", "·t", "·before"))
 
     def create(self, c: Compiler, rows: Rows, paths: tuple[A.Path, ...]) -> Rows:
         df, scope = rows.df, dict(rows.scope)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..operators.common import cut
+from ..operators.common import cut, placed
 
 # Properties that the graph keeps.
 BUS = "numero nombre V_base_kV tipo area zona zoname V_mag_pu V_ang_deg V_max_pu V_min_pu".split()
@@ -14,9 +14,9 @@ LINE = "circuito R_pu X_pu B_pu rate_A_MVA rate_B_MVA rate_C_MVA status longitud
 SPREAD = 10**9
 
 
-def _numbered(df: DataFrame, code: int, *keys: str) -> Column:
-    """Ids in order of the keys; element tables of one case are small."""
-    return F.lit(code * SPREAD) + F.row_number().over(Window.orderBy(*keys)).cast("long")
+def _numbered(df: DataFrame, name: str, code: int, *keys: str) -> DataFrame:
+    """``df`` with ids in order of the keys, from 1 above the code's range."""
+    return placed(df, *map(F.col, keys)).withColumn(name, F.lit(code * SPREAD + 1) + F.col("place")).drop("place")
 
 
 def load_network(spark, tables: dict[str, DataFrame]) -> tuple[PropertyGraph, dict[str, int]]:
@@ -41,19 +41,19 @@ def load_network(spark, tables: dict[str, DataFrame]) -> tuple[PropertyGraph, di
     if lines is not None:
         lines = lines.withColumnRenamed("_CKT", "circuito")
         keep = [c for c in LINE if c in lines.columns]
-        g = g.with_rels("LINEA", lines.select(_numbered(lines, 1, "from_bus_numero", "to_bus_numero", "circuito").alias("id"), F.col("from_bus_numero").cast("long").alias("src"), F.col("to_bus_numero").cast("long").alias("dst"), *keep), ["Bus"], ["Bus"])
+        g = g.with_rels("LINEA", _numbered(lines, "id", 1, "from_bus_numero", "to_bus_numero", "circuito").select("id", F.col("from_bus_numero").cast("long").alias("src"), F.col("to_bus_numero").cast("long").alias("dst"), *keep), ["Bus"], ["Bus"])
     xf = checked("transformadores", "from_bus_index", "to_bus_index")
     if xf is not None:
         two = xf.filter("tertiary_bus_index = 0")
         g = g.with_rels(
             "TRANSFORMADOR_2W",
-            two.select(_numbered(two, 2, "from_bus_index", "to_bus_index", "ckt_id").alias("id"), F.col("from_bus_index").cast("long").alias("src"), F.col("to_bus_index").cast("long").alias("dst"), F.col("ckt_id").alias("ckt"), "R1_2_pu", "X1_2_pu", "WINDV1", "ANG1", "STAT"),
+            _numbered(two, "id", 2, "from_bus_index", "to_bus_index", "ckt_id").select("id", F.col("from_bus_index").cast("long").alias("src"), F.col("to_bus_index").cast("long").alias("dst"), F.col("ckt_id").alias("ckt"), "R1_2_pu", "X1_2_pu", "WINDV1", "ANG1", "STAT"),
             ["Bus"],
             ["Bus"],
         )
         three = xf.filter("tertiary_bus_index <> 0").join(known, F.col("tertiary_bus_index") == F.col("known"), "left_semi")
         lost["transformadores"] += xf.filter("tertiary_bus_index <> 0").count() - three.count()
-        three = three.withColumn("vid", _numbered(three, 3, "from_bus_index", "to_bus_index", "tertiary_bus_index", "ckt_id"))
+        three = _numbered(three, "vid", 3, "from_bus_index", "to_bus_index", "tertiary_bus_index", "ckt_id")
         name = F.concat_ws("_", F.lit("XF3W"), "from_bus_index", "to_bus_index", "tertiary_bus_index").alias("name")
         g = g.with_nodes(["VirtualNode"], three.select(F.col("vid").alias("id"), name, F.col("ckt_id").alias("ckt"), "R1_2_pu", "X1_2_pu", "R2_3_pu", "X2_3_pu", "R3_1_pu", "X3_1_pu", "STAT"))
         arms = three.select("vid", F.posexplode(F.array("from_bus_index", "to_bus_index", "tertiary_bus_index")).alias("arm", "bus"))
@@ -61,7 +61,7 @@ def load_network(spark, tables: dict[str, DataFrame]) -> tuple[PropertyGraph, di
     for code, (table, label, kind) in enumerate((("generadores", "Generator", "GENERACION"), ("cargas", "Load", "CONSUMO"), ("shunts", "Shunt", "SHUNT")), 4):
         leaf = checked(table, "bus_numero")
         if leaf is not None:
-            leaf = leaf.withColumnRenamed("id", "ident").withColumn("id", _numbered(leaf, code, "bus_numero", "ident"))
+            leaf = _numbered(leaf.withColumnRenamed("id", "ident"), "id", code, "bus_numero", "ident")
             g = g.with_nodes([label], leaf)
             g = g.with_rels(kind, leaf.select((F.col("id") * 10).alias("id"), F.col("bus_numero").cast("long").alias("src"), F.col("id").alias("dst")), ["Bus"], [label])
     return g, lost

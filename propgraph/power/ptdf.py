@@ -86,8 +86,12 @@ class Ptdf:
         return best.select("branch", F.col("x.m").alias("max_ptdf"), (-F.col("x.b")).alias("bus")).orderBy(F.desc("max_ptdf"), "branch").limit(top_n)
 
     def summary(self) -> DataFrame:
+        """One row: sizes, magnitudes, and how many branches are tied to the graph and how many of those are bridges (null without one)."""
         m = F.abs("ptdf")
-        return self.table.agg(F.countDistinct("branch").alias("n_branches"), F.countDistinct("bus").alias("n_buses"), F.max(m).alias("max_abs"), F.avg(m).alias("mean_abs"), (100 * F.avg(F.when(m < TINY, 1.0).otherwise(0.0))).alias("sparsity_pct"))
+        tied = self.label_map().count() if self.graph is not None else None
+        split = self.bridge_labels().count() if self.graph is not None else None
+        mapped = [F.lit(tied).cast("long").alias("n_mapped_to_graph"), F.lit(split).cast("long").alias("n_bridges")]
+        return self.table.agg(F.countDistinct("branch").alias("n_branches"), F.countDistinct("bus").alias("n_buses"), F.max(m).alias("max_abs"), F.avg(m).alias("mean_abs"), (100 * F.avg(F.when(m < TINY, 1.0).otherwise(0.0))).alias("sparsity_pct"), *mapped)
 
     def top_k(self, k: int = 20) -> DataFrame:
         """``branch, ptdf_topk``: the k buses of greatest magnitude over 1e-6, values rounded to 6 places."""

@@ -60,7 +60,7 @@ SQL = {
     "ptdf_bus_impact": f"WITH {_P} SELECT branch, ptdf FROM p WHERE bus = 2 ORDER BY abs(ptdf) DESC, branch LIMIT 2",
     "ptdf_topk": f"WITH {_P} SELECT branch, row_number() OVER (PARTITION BY branch ORDER BY abs(ptdf) DESC, bus) AS rank, bus, round(ptdf, 6) AS ptdf FROM p WHERE abs(ptdf) > 1e-6 QUALIFY rank <= 2",
     "ptdf_most_sensitive": f"WITH {_P} SELECT branch, max(abs(ptdf)) AS max_ptdf, arg_max(bus, abs(ptdf)) AS bus FROM p GROUP BY 1",
-    "ptdf_summary": f"WITH {_P} SELECT count(DISTINCT branch) AS n_branches, count(DISTINCT bus) AS n_buses, round(max(abs(ptdf)), 4) AS max_abs, round(avg(abs(ptdf)), 4) AS mean_abs, round(100.0 * avg(CASE WHEN abs(ptdf) < 1e-6 THEN 1 ELSE 0 END), 4) AS sparsity_pct FROM p",
+    "ptdf_summary": f"WITH {_P} SELECT count(DISTINCT branch) AS n_branches, count(DISTINCT bus) AS n_buses, round(max(abs(ptdf)), 4) AS max_abs, round(avg(abs(ptdf)), 4) AS mean_abs, round(100.0 * avg(CASE WHEN abs(ptdf) < 1e-6 THEN 1 ELSE 0 END), 4) AS sparsity_pct, 3::BIGINT AS n_mapped_to_graph, 0::BIGINT AS n_bridges FROM p",
     "lodf_matrix": f"{_M} SELECT affected, outage, round(lodf, 4) AS lodf FROM m",
     "post_contingency_flows": f"{_M} SELECT outage, affected, round(flow, 3) AS flow FROM post",
     "contingency_ranking": f"{_M} SELECT row_number() OVER (ORDER BY max_loading_pct DESC, outage) AS rank, outage, max_loading_pct, n_overloads, verdict FROM v",

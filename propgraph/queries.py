@@ -1,8 +1,8 @@
 """Queries of the graph engine by name, with DuckDB SQL that computes the same rows.
 
-The graphs come from the star schema and event tables (``sources.commerce``): R is the sparse
-supplier-part graph, WHOLE the supplier-part graph of all lines, F the directed multigraph of users
-in turn.
+The graphs come from the star schema and event tables (``sources.commerce``): R joins each part to the
+supplier that ships most of it and each supplier to the part it ships most of, WHOLE is the
+supplier-part graph of all lines, F the directed multigraph of users in turn.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-R, WHOLE, FOLLOWS = "SUPPLIES_RARE", "SUPPLIES", "FOLLOWS"
+R, WHOLE, FOLLOWS = ["MAIN_SUPPLIER", "MAIN_PART"], "SUPPLIES", "FOLLOWS"
 USER_1 = 7 * 10**12 + 1
 
 
@@ -103,8 +103,8 @@ cypher("hist_labels", "MATCH (n) UNWIND labels(n) AS label RETURN label, count(*
 cypher(
     "hist_rel_types",
     "MATCH ()-[r]->() RETURN type(r) AS t, count(*) AS n",
-    "WITH {F}, {R} SELECT 'IN_REGION' AS t, count(*) AS n FROM nation UNION ALL SELECT 'LOCATED_IN', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL "
-    "SELECT 'CONTAINS', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'SUPPLIES_RARE', count(*) FROM r UNION ALL SELECT 'FOLLOWS', count(*) FROM f",
+    "WITH {F} SELECT 'IN_REGION' AS t, count(*) AS n FROM nation UNION ALL SELECT 'LOCATED_IN', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL "
+    "SELECT 'CONTAINS', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'MAIN_SUPPLIER', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'MAIN_PART', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'FOLLOWS', count(*) FROM f",
 )
 QUERIES["fn_json_property"] = lambda spark, sf: json_events(spark, sf).query("MATCH (e:Event) WHERE toInteger(json_extract(e.props, '$.k')) > 50 RETURN e.key AS key, toInteger(e.props.k) AS k")
 SQL["fn_json_property"] = "SELECT event_id AS key, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT > 50"
@@ -120,7 +120,9 @@ F_SQL = (
     "f AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst, id::BIGINT AS id, w FROM f0 WHERE src IS NOT NULL)"
 )
 R_SQL = (
-    "r AS (SELECT DISTINCT 4000000000000 + l_suppkey AS src, 5000000000000 + l_partkey AS dst, 6000000000000000000 + l_suppkey * 100000000 + l_partkey AS id, 1.0::DOUBLE AS w FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09)"
+    "q AS (SELECT l_suppkey AS s, l_partkey AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), "
+    "r AS (SELECT 5000000000000 + p AS src, 4000000000000 + s AS dst, 6000000000000000 + p AS id, 1.0::DOUBLE AS w FROM q QUALIFY row_number() OVER (PARTITION BY p ORDER BY q DESC, s) = 1 "
+    "UNION ALL SELECT 4000000000000 + s, 5000000000000 + p, 8000000000000000 + s, 1.0::DOUBLE FROM q QUALIFY row_number() OVER (PARTITION BY s ORDER BY q DESC, p) = 1)"
 )
 
 
@@ -171,11 +173,11 @@ add(
     lambda g: traverse.dijkstra(g, USER_1, FOLLOWS, "weight").select("node_id", F.round("dist", 6).alias("dist")),
     f"WITH {F_SQL}{SSSP}, v AS (SELECT src AS n FROM f UNION SELECT dst FROM f) SELECT v.n AS node_id, round(coalesce(q25.d, -1.0), 6) AS dist FROM v LEFT JOIN q25 ON v.n = q25.n",
 )
-add("apsp_hops", lambda g: traverse.all_pairs_hops(g, R), f"{recursive('R')}{HOPS} SELECT src, dst, d::DOUBLE AS dist FROM hop")
+add("apsp_hops", lambda g: traverse.all_pairs_hops(g, FOLLOWS), f"{recursive('F')}{HOPS} SELECT src, dst, d::DOUBLE AS dist FROM hop")
 add("k_shortest", lambda g: flow.k_shortest_paths(g, USER_1, USER_1 + 1, 3, FOLLOWS, "weight"))
 add("wcc", lambda g: traverse.connected_components(g, R), f"{recursive('R')}{CC} SELECT n AS node_id, dense_rank() OVER (ORDER BY root) - 1 AS component FROM cc")
 add("wcc_sizes", lambda g: traverse.component_sizes(g, R), f"{recursive('R')}{CC} SELECT size, count(*) AS components FROM (SELECT root, count(*) AS size FROM cc GROUP BY 1) GROUP BY 1")
-add("is_connected", lambda g: one(g.spark, rare=traverse.is_connected(g, R), follows=traverse.is_connected(g, FOLLOWS)), f"{recursive('R')}{CC} SELECT (SELECT count(DISTINCT root) = 1 FROM cc) AS rare, true AS follows")
+add("is_connected", lambda g: one(g.spark, main=traverse.is_connected(g, R), follows=traverse.is_connected(g, FOLLOWS)), f"{recursive('R')}{CC} SELECT (SELECT count(DISTINCT root) = 1 FROM cc) AS main, true AS follows")
 add(
     "scc",
     lambda g: traverse.strongly_connected_components(g, FOLLOWS),
@@ -232,19 +234,19 @@ MULTI = ", kb AS (SELECT src, dst, count(*)::DOUBLE AS k FROM b WHERE src <> dst
 SINGLE = ", kb AS (SELECT src, dst, 1.0::DOUBLE AS k FROM sb)"
 BETWEEN = "SELECT x.t AS n, sum(x.sigma * y.sigma / z.sigma) AS c FROM p x JOIN p y ON x.t = y.s JOIN p z ON z.s = x.s AND z.t = y.t WHERE x.d + y.d = z.d AND x.s <> x.t AND y.s <> y.t GROUP BY 1"
 add("betweenness", lambda g: centrality.betweenness_centrality(g, FOLLOWS).select("node_id", F.round("betweenness", 9).alias("betweenness")), f"{recursive('F')}{MULTI}{levels('kb', 6)}, c AS ({BETWEEN}), m AS (SELECT count(*)::DOUBLE AS m FROM v) SELECT v.n AS node_id, round(coalesce(c.c, 0) / ((m - 1) * (m - 2)), 9) AS betweenness FROM v CROSS JOIN m LEFT JOIN c ON v.n = c.n")
-EDGE = f"{recursive('R')}{SINGLE}{levels('kb', 12)}, m AS (SELECT count(*)::DOUBLE AS m FROM v), eb AS (SELECT least(k.src, k.dst) AS src, greatest(k.src, k.dst) AS dst, sum(x.sigma * y.sigma / z.sigma) / any_value(m * (m - 1)) AS c FROM kb k CROSS JOIN m JOIN p x ON x.t = k.src JOIN p y ON y.s = k.dst JOIN p z ON z.s = x.s AND z.t = y.t WHERE x.d + 1 + y.d = z.d GROUP BY 1, 2)"
-add("edge_betweenness", lambda g: centrality.edge_betweenness_centrality(g, R).select("src", "dst", F.round("betweenness", 9).alias("betweenness")), f"{EDGE} SELECT src, dst, round(c, 9) AS betweenness FROM eb")
-add("congestion_risk", lambda g: centrality.congestion_risk(g, R).select("rel_id", "src", "dst", F.round("betweenness", 9).alias("betweenness")), f"{EDGE} SELECT e.id AS rel_id, e.src, e.dst, round(c, 9) AS betweenness FROM e JOIN eb ON least(e.src, e.dst) = eb.src AND greatest(e.src, e.dst) = eb.dst")
-add("vulnerability", lambda g: centrality.vulnerability_index(g, R), f"{EDGE} SELECT e.id AS rel_id, e.src, e.dst, round(c, 6) AS vulnerability FROM e JOIN eb ON least(e.src, e.dst) = eb.src AND greatest(e.src, e.dst) = eb.dst")
+EDGE = f"{recursive('F')}{SINGLE}{levels('kb', 6)}, m AS (SELECT count(*)::DOUBLE AS m FROM v), eb AS (SELECT least(k.src, k.dst) AS src, greatest(k.src, k.dst) AS dst, sum(x.sigma * y.sigma / z.sigma) / any_value(m * (m - 1)) AS c FROM kb k CROSS JOIN m JOIN p x ON x.t = k.src JOIN p y ON y.s = k.dst JOIN p z ON z.s = x.s AND z.t = y.t WHERE x.d + 1 + y.d = z.d GROUP BY 1, 2)"
+add("edge_betweenness", lambda g: centrality.edge_betweenness_centrality(g, FOLLOWS).select("src", "dst", F.round("betweenness", 9).alias("betweenness")), f"{EDGE} SELECT src, dst, round(c, 9) AS betweenness FROM eb")
+add("congestion_risk", lambda g: centrality.congestion_risk(g, FOLLOWS).select("rel_id", "src", "dst", F.round("betweenness", 9).alias("betweenness")), f"{EDGE} SELECT e.id AS rel_id, e.src, e.dst, round(c, 9) AS betweenness FROM e JOIN eb ON least(e.src, e.dst) = eb.src AND greatest(e.src, e.dst) = eb.dst")
+add("vulnerability", lambda g: centrality.vulnerability_index(g, FOLLOWS), f"{EDGE} SELECT e.id AS rel_id, e.src, e.dst, round(c, 6) AS vulnerability FROM e JOIN eb ON least(e.src, e.dst) = eb.src AND greatest(e.src, e.dst) = eb.dst")
 CLOSE = ", cl AS (SELECT src AS n, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / ((SELECT count(*) FROM v) - 1.0) * ((count(*) - 1) / sum(d)) ELSE 0 END AS c FROM hop GROUP BY 1)"
-add("closeness", lambda g: centrality.closeness_centrality(g, R).select("node_id", F.round("closeness", 9).alias("closeness")), f"{recursive('R')}{HOPS}{CLOSE} SELECT n AS node_id, round(c, 9)::DOUBLE AS closeness FROM cl")
-add("bess_ranking", lambda g: centrality.bess_siting_ranking(g, R, None, 10).select("node_id", F.round("score", 9).alias("score")), f"{recursive('R')}{HOPS}{CLOSE}{SINGLE}{levels('kb', 12)}, c AS ({BETWEEN}), m AS (SELECT count(*)::DOUBLE AS m FROM v) SELECT cl.n AS node_id, round(0.5 * cl.c + 0.5 * coalesce(c.c, 0) / ((m - 1) * (m - 2)), 9)::DOUBLE AS score FROM cl CROSS JOIN m LEFT JOIN c ON cl.n = c.n ORDER BY 0.5 * cl.c + 0.5 * coalesce(c.c, 0) / ((m - 1) * (m - 2)) DESC, cl.n LIMIT 10")
+add("closeness", lambda g: centrality.closeness_centrality(g, FOLLOWS).select("node_id", F.round("closeness", 9).alias("closeness")), f"{recursive('F')}{HOPS}{CLOSE} SELECT n AS node_id, round(c, 9)::DOUBLE AS closeness FROM cl")
+add("bess_ranking", lambda g: centrality.bess_siting_ranking(g, FOLLOWS, None, 10).select("node_id", F.round("score", 9).alias("score")), f"{recursive('F')}{HOPS}{CLOSE}{SINGLE}{levels('kb', 6)}, c AS ({BETWEEN}), m AS (SELECT count(*)::DOUBLE AS m FROM v) SELECT cl.n AS node_id, round(0.5 * cl.c + 0.5 * coalesce(c.c, 0) / ((m - 1) * (m - 2)), 9)::DOUBLE AS score FROM cl CROSS JOIN m LEFT JOIN c ON cl.n = c.n ORDER BY 0.5 * cl.c + 0.5 * coalesce(c.c, 0) / ((m - 1) * (m - 2)) DESC, cl.n LIMIT 10")
 BIG = f"{HOPS}{CC}, big AS (SELECT n FROM cc WHERE root = (SELECT root FROM cc GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1)), inner_hop AS (SELECT hop.* FROM hop JOIN big ON hop.src = big.n), ecc AS (SELECT src AS n, max(d) AS e FROM inner_hop GROUP BY 1)"
-add("eccentricity", lambda g: metrics.eccentricity(g, R), f"{recursive('R')}{BIG} SELECT n AS node_id, e::BIGINT AS eccentricity FROM ecc")
-add("diameter_radius", lambda g: one(g.spark, diameter=metrics.graph_diameter(g, R) == float("inf"), radius=metrics.radius(g, R)), f"{recursive('R')}{BIG} SELECT true AS diameter, (SELECT min(e) FROM ecc)::INTEGER AS radius")
-add("center_periphery", lambda g: metrics.center(g, R).withColumn("part", F.lit("center")).unionByName(metrics.periphery(g, R).withColumn("part", F.lit("periphery"))), f"{recursive('R')}{BIG} SELECT n AS node_id, 'center' AS part FROM ecc WHERE e = (SELECT min(e) FROM ecc) UNION ALL SELECT n, 'periphery' FROM ecc WHERE e = (SELECT max(e) FROM ecc)")
-add("avg_path_length", lambda g: one(g.spark, length=round(metrics.average_shortest_path_length(g, R), 9)), f"{recursive('R')}{BIG} SELECT round(avg(d), 9) AS length FROM inner_hop WHERE src <> dst")
-add("wiener", lambda g: one(g.spark, wiener=metrics.wiener_index(g, R)), f"{recursive('R')}{HOPS} SELECT sum(d) / 2.0::DOUBLE AS wiener FROM hop")
+add("eccentricity", lambda g: metrics.eccentricity(g, FOLLOWS), f"{recursive('F')}{BIG} SELECT n AS node_id, e::BIGINT AS eccentricity FROM ecc")
+add("diameter_radius", lambda g: one(g.spark, diameter=metrics.graph_diameter(g, FOLLOWS), radius=metrics.radius(g, FOLLOWS)), f"{recursive('F')}{BIG} SELECT (SELECT max(e) FROM ecc)::DOUBLE AS diameter, (SELECT min(e) FROM ecc)::INTEGER AS radius")
+add("center_periphery", lambda g: metrics.center(g, FOLLOWS).withColumn("part", F.lit("center")).unionByName(metrics.periphery(g, FOLLOWS).withColumn("part", F.lit("periphery"))), f"{recursive('F')}{BIG} SELECT n AS node_id, 'center' AS part FROM ecc WHERE e = (SELECT min(e) FROM ecc) UNION ALL SELECT n, 'periphery' FROM ecc WHERE e = (SELECT max(e) FROM ecc)")
+add("avg_path_length", lambda g: one(g.spark, length=round(metrics.average_shortest_path_length(g, FOLLOWS), 9)), f"{recursive('F')}{BIG} SELECT round(avg(d), 9) AS length FROM inner_hop WHERE src <> dst")
+add("wiener", lambda g: one(g.spark, wiener=metrics.wiener_index(g, FOLLOWS)), f"{recursive('F')}{HOPS} SELECT sum(d) / 2.0::DOUBLE AS wiener FROM hop")
 add("density", lambda g: one(g.spark, density=round(metrics.density(g, FOLLOWS), 9)), f"{recursive('F')} SELECT round(2.0 * (SELECT count(*) FROM {SIMPLE_LOOPS}) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)), 9)::DOUBLE AS density")
 add("assortativity", lambda g: one(g.spark, r=round(metrics.assortativity(g, FOLLOWS), 6)), f"{recursive('F')}{TRI} SELECT round(corr(x.d, y.d), 6) AS r FROM sb JOIN dg x ON sb.src = x.n JOIN dg y ON sb.dst = y.n")
 add(
@@ -279,8 +281,6 @@ add("connectivity", lambda g: one(g.spark, edge=flow.edge_connectivity(g, R), no
 # ---- subgraphs ------------------------------------------------------------------------------------------
 TOP = "d AS (SELECT n, count(*) AS k FROM (SELECT src AS n FROM f UNION ALL SELECT dst FROM f) GROUP BY 1), top AS (SELECT n FROM d ORDER BY k DESC, n LIMIT 20)"
 add("top_degree_subgraph", lambda g: subgraph.top_degree(g, 20, FOLLOWS)[1].select("id", "src", "dst"), f"WITH {F_SQL}, {TOP} SELECT id, src, dst FROM f WHERE src IN (SELECT n FROM top) AND dst IN (SELECT n FROM top)")
-add("query_subgraph", lambda g: subgraph.of_query(g, "MATCH (a:User)-[:FOLLOWS]->(b:User) WHERE a.key < 20 RETURN id(a) AS a, id(b) AS b", 500, FOLLOWS)[0].select("id"), f"WITH {F_SQL} SELECT DISTINCT n AS id FROM (SELECT src AS n FROM f WHERE src < 7000000000020 UNION ALL SELECT dst FROM f WHERE src < 7000000000020)")
-
 # the view's own limit chooses among all users
 ALL_TOP = "d AS (SELECT n, count(*) AS k FROM (SELECT src AS n FROM f UNION ALL SELECT dst FROM f) GROUP BY 1)"
 add("query_subgraph_all", lambda g: subgraph.of_query(g, "MATCH (a:User)-[:FOLLOWS]->(b:User) RETURN id(a) AS a, id(b) AS b", 500, FOLLOWS)[0].select("id"), f"WITH {F_SQL}, {ALL_TOP} SELECT n AS id FROM d ORDER BY k DESC, n LIMIT 500")

@@ -74,7 +74,11 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     contains = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("qty"), F.count("*").alias("lines"))
     g = g.with_rels("CONTAINS", contains.select(rel_id(4, F.col("l_orderkey"), F.col("l_partkey")).alias("id"), node_id(ORDER, "l_orderkey").alias("src"), node_id(PART, "l_partkey").alias("dst"), "qty", "lines"), ["Order"], ["Part"])
     g = g.with_rels("SUPPLIES", _pairs(lines, 5), ["Supplier"], ["Part"])
-    g = g.with_rels("SUPPLIES_RARE", _pairs(lines.filter("l_quantity >= 50 AND l_discount >= 0.09"), 6), ["Supplier"], ["Part"])
+    sold = lines.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("sold"))
+    main = sold.groupBy("l_partkey").agg(F.max(F.struct("sold", (-F.col("l_suppkey")).alias("s"))).alias("m")).select("l_partkey", (-F.col("m.s")).alias("l_suppkey"))
+    g = g.with_rels("MAIN_SUPPLIER", main.select(rel_id(6, F.col("l_partkey")).alias("id"), node_id(PART, "l_partkey").alias("src"), node_id(SUPPLIER, "l_suppkey").alias("dst")), ["Part"], ["Supplier"])
+    main = sold.groupBy("l_suppkey").agg(F.max(F.struct("sold", (-F.col("l_partkey")).alias("p"))).alias("m")).select("l_suppkey", (-F.col("m.p")).alias("l_partkey"))
+    g = g.with_rels("MAIN_PART", main.select(rel_id(8, F.col("l_suppkey")).alias("id"), node_id(SUPPLIER, "l_suppkey").alias("src"), node_id(PART, "l_partkey").alias("dst")), ["Supplier"], ["Part"])
     follows = purchases_in_turn(events)
     return g.with_rels("FOLLOWS", follows.select((F.lit(7 * 10**18) + F.col("event_id")).cast("long").alias("id"), node_id(USER, "src").alias("src"), node_id(USER, "dst").alias("dst"), "weight"), ["User"], ["User"])
 
