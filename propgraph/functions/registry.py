@@ -49,6 +49,14 @@ def _json_path(x: Column, path: Column) -> Column:
     return F.call_function("get_json_object", x.cast("string"), path)
 
 
+
+def storage_class(x: Column) -> Column:
+    """null, integer, real or text."""
+    kind = F.typeof(x)
+    number = F.when(kind.isin("boolean", "tinyint", "smallint", "int", "bigint"), "integer").when(kind.rlike("^(float|double|decimal)"), "real")
+    return F.when(x.isNull(), "null").otherwise(number.otherwise("text"))
+
+
 SCALARS: dict[str, Build] = {
     # text
     "upper": F.upper,
@@ -112,7 +120,7 @@ SCALARS: dict[str, Build] = {
     "ifnull": lambda a, b: F.coalesce(a, b),
     "nullif": F.nullif,
     "iif": _iif,
-    "typeof": F.typeof,
+    "typeof": storage_class,
     # dates
     "date": lambda x: F.date_format(_moment(x), "yyyy-MM-dd"),
     "time": lambda x: F.date_format(_moment(x), "HH:mm:ss"),

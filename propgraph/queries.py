@@ -7,13 +7,16 @@ supplier-part graph of all lines, F the directed multigraph of users in turn.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import centrality, community, flow, matrix, metrics, structure, subgraph, traverse
 from .graph import PropertyGraph
+from .operators import centrality, community, crud, flow, matrix, metrics, structure, subgraph, traverse
+from .operators.common import shared_folder
+from .plans.writer import is_read_only
 from .sources import commerce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,8 +257,10 @@ add(
     lambda g: metrics.rich_club_coefficient(g, FOLLOWS).select("k", F.round("phi", 9).alias("phi")),
     f"{recursive('F')}{TRI}, ks AS (SELECT unnest(range(0, (SELECT max(d) FROM dg))) AS k), n AS (SELECT k, count(*) AS n FROM ks JOIN dg ON d > k GROUP BY 1), m AS (SELECT k, count(*) AS m FROM ks JOIN (SELECT least(x.d, y.d) AS d FROM s JOIN dg x ON s.src = x.n JOIN dg y ON s.dst = y.n) q ON q.d > ks.k GROUP BY 1) SELECT n.k, round(2.0 * coalesce(m, 0) / (n * (n - 1)), 9)::DOUBLE AS phi FROM n LEFT JOIN m ON n.k = m.k WHERE n > 1",
 )
-add("summary", lambda g: (lambda s: one(g.spark, n_nodes=s["n_nodes"], n_edges=s["n_edges"], max_degree=s["max_degree"], n_components=s["n_components"], n_bridges=s["n_bridges"], n_articulation_points=s["n_articulation_points"], clustering=s["clustering"]))(metrics.summary(g, R)))
-add("robustness", lambda g: (lambda s: one(g.spark, fiedler=round(s["fiedler_value"], 6), bridges=s["n_bridges"], points=s["n_articulation_points"], connected=s["is_connected"]))(metrics.network_robustness(g, R)))
+CUT_SQL = ", bt AS (SELECT id AS gone, src AS n FROM e UNION SELECT bt.gone, b.dst FROM bt JOIN b ON bt.n = b.src AND b.id <> bt.gone), br AS (SELECT id FROM e WHERE NOT EXISTS (SELECT 1 FROM bt WHERE bt.gone = e.id AND bt.n = e.dst)), near AS (SELECT DISTINCT src AS x, dst AS y FROM b WHERE src <> dst), pt AS (SELECT x, min(y) AS n FROM near GROUP BY 1 UNION SELECT pt.x, near.y FROM pt JOIN near ON pt.n = near.x AND near.y <> pt.x), ap AS (SELECT DISTINCT x FROM near WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.x = near.x AND pt.n = near.y))"
+SUMMARY = f"{recursive('R')}{CC}{TRI}{CUT_SQL} SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT max(k) FROM (SELECT count(*) AS k FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e) GROUP BY n)) AS max_degree, (SELECT count(DISTINCT root) FROM cc) AS n_components, (SELECT count(*) FROM br) AS n_bridges, (SELECT count(*) FROM ap) AS n_articulation_points, coalesce((SELECT sum(t) FROM tn) / (SELECT sum(d * (d - 1) / 2.0) FROM dg), 0)::DOUBLE AS clustering"
+add("summary", lambda g: (lambda s: one(g.spark, n_nodes=s["n_nodes"], n_edges=s["n_edges"], max_degree=s["max_degree"], n_components=s["n_components"], n_bridges=s["n_bridges"], n_articulation_points=s["n_articulation_points"], clustering=s["clustering"]))(metrics.summary(g, R)), SUMMARY)
+add("robustness", lambda g: (lambda s: one(g.spark, fiedler=round(s["fiedler_value"], 6), bridges=s["n_bridges"], points=s["n_articulation_points"], connected=s["is_connected"]))(metrics.network_robustness(g, FOLLOWS)))
 
 # ---- matrices ---------------------------------------------------------------------------------------
 ADJ = "SELECT src AS i_id, dst AS j_id, count(*)::DOUBLE AS value FROM b GROUP BY 1, 2"
@@ -275,8 +280,8 @@ add("max_flow", lambda g: one(g.spark, value=round(flow.max_flow(g, USER_1, USER
 add("min_cut", lambda g: flow.min_cut(g, USER_1, USER_1 + 1, FOLLOWS, "weight")[1])
 add("label_propagation", lambda g: community.label_propagation_communities(g, WHOLE))
 add("louvain", lambda g: community.community_detection(g, WHOLE))
-add("greedy_modularity", lambda g: community.greedy_modularity_communities(g, R))
-add("connectivity", lambda g: one(g.spark, edge=flow.edge_connectivity(g, R), node=flow.node_connectivity(g, R)))
+add("greedy_modularity", lambda g: community.greedy_modularity_communities(g, FOLLOWS))
+add("connectivity", lambda g: one(g.spark, edge=flow.edge_connectivity(g, FOLLOWS), node=flow.node_connectivity(g, FOLLOWS)))
 
 # ---- subgraphs ------------------------------------------------------------------------------------------
 TOP = "d AS (SELECT n, count(*) AS k FROM (SELECT src AS n FROM f UNION ALL SELECT dst FROM f) GROUP BY 1), top AS (SELECT n FROM d ORDER BY k DESC, n LIMIT 20)"
@@ -286,6 +291,94 @@ ALL_TOP = "d AS (SELECT n, count(*) AS k FROM (SELECT src AS n FROM f UNION ALL
 add("query_subgraph_all", lambda g: subgraph.of_query(g, "MATCH (a:User)-[:FOLLOWS]->(b:User) RETURN id(a) AS a, id(b) AS b", 500, FOLLOWS)[0].select("id"), f"WITH {F_SQL}, {ALL_TOP} SELECT n AS id FROM d ORDER BY k DESC, n LIMIT 500")
 
 
+# ---- writing: the changed graph is read again ------------------------------------------------------------
+def write(name: str, changes: list[str], read: str, sql: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        g = commerce_graph(spark, sf)
+        for text in changes:
+            g = g.execute(text)[0]
+        return g.query(read)
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+write(
+    "write_create",
+    ["MATCH (n:Nation)-[:IN_REGION]->(r:Region) CREATE (n)-[:PART_OF {rank: n.key + 1}]->(:Zone {name: r.name, nation: n.key})"],
+    "MATCH (n:Nation)-[p:PART_OF]->(z:Zone) RETURN n.key AS n, p.rank AS rank, z.name AS zone, z.nation AS nation",
+    "SELECT n_nationkey AS n, n_nationkey + 1 AS rank, r_name AS zone, n_nationkey AS nation FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+write(
+    "write_merge_nodes",
+    ["MATCH (c:Customer) MERGE (s:Segment {name: c.segment}) ON CREATE SET s.fresh = true", "UNWIND ['BUILDING', 'NOWHERE'] AS k MERGE (s:Segment {name: k}) ON CREATE SET s.fresh = false ON MATCH SET s.seen = 1"],
+    "MATCH (s:Segment) RETURN s.name AS name, s.fresh AS fresh, s.seen AS seen",
+    "SELECT DISTINCT c_mktsegment AS name, true AS fresh, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END::BIGINT AS seen FROM customer UNION ALL SELECT 'NOWHERE', false, NULL WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'NOWHERE')",
+)
+write(
+    "write_merge_rels",
+    ["MATCH (s:Supplier)-[:LOCATED_IN]->(:Nation)-[:IN_REGION]->(r:Region) MERGE (s)-[:SERVES]->(r)", "MATCH (s:Supplier)-[:LOCATED_IN]->(:Nation)-[:IN_REGION]->(r:Region) MERGE (s)-[:SERVES]->(r)"],
+    "MATCH (s:Supplier)-[x:SERVES]->(r:Region) RETURN r.key AS region, count(x) AS n",
+    "SELECT n_regionkey AS region, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+)
+write(
+    "write_set",
+    ["MATCH (s:Supplier) WHERE s.acctbal < 0 SET s.debt = 0 - s.acctbal, s:Debtor", "MATCH (:Order)-[c:CONTAINS]->(:Part) WHERE c.lines > 1 SET c.many = true"],
+    "MATCH (s:Debtor) RETURN s.key AS key, s.debt AS debt, size(labels(s)) AS labels",
+    "SELECT s_suppkey AS key, -s_acctbal::DOUBLE AS debt, 2::BIGINT AS labels FROM supplier WHERE s_acctbal < 0",
+)
+write("write_remove", ["MATCH (n:Nation) WHERE n.key % 2 = 0 REMOVE n.name", "MATCH (r:Region) WHERE r.key = 0 REMOVE r:Region"], "MATCH (n:Nation)-[:IN_REGION]->(r) RETURN n.key AS key, n.name AS name, size(labels(r)) AS labels", "SELECT n_nationkey AS key, CASE WHEN n_nationkey % 2 <> 0 THEN n_name END AS name, CASE WHEN n_regionkey = 0 THEN 0 ELSE 1 END::BIGINT AS labels FROM nation")
+write(
+    "write_detach_delete",
+    ["MATCH (c:Customer)-[:LOCATED_IN]->(n:Nation) WHERE n.key = 3 DETACH DELETE c"],
+    "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.key AS customer, count(o) AS orders",
+    "SELECT c_custkey AS customer, count(*) AS orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey <> 3 GROUP BY 1",
+)
+write("write_delete_rels", ["MATCH (:Order)-[r:CONTAINS]->(:Part) WHERE r.qty > 25 DELETE r"], "MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN count(r) AS n, max(r.qty) AS most", "SELECT count(*) AS n, max(q)::DOUBLE AS most FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_partkey) WHERE q <= 25")
+NATION, IN_REGION = 2 * 10**12, 10**15
+
+
+def edited(name: str, change: Callable, read: str, sql: str) -> None:
+    QUERIES[name], SQL[name] = (lambda spark, sf: change(commerce_graph(spark, sf)).query(read)), sql
+
+
+def _made(g: PropertyGraph) -> PropertyGraph:
+    g, hub = crud.create_node(g, "Hub Depot", {"name": "north", "size": 5})
+    for nation in (3, 7):
+        g, _ = crud.create_rel(g, hub, NATION + nation, "FEEDS", {"share": nation / 10})
+    return g
+
+
+edited("crud_create", _made, "MATCH (h:Hub:Depot)-[f:FEEDS]->(n:Nation) RETURN h.name AS hub, h.size AS size, f.share AS share, n.name AS nation", "SELECT 'north' AS hub, 5::BIGINT AS size, n_nationkey / 10.0::DOUBLE AS share, n_name AS nation FROM nation WHERE n_nationkey IN (3, 7)")
+edited("crud_node_properties", lambda g: crud.remove_node_property(crud.set_node_property(crud.set_node_property(g, NATION + 3, "name", '"changed"'), NATION + 4, "rank", "9"), NATION + 5, "name"), "MATCH (n:Nation) RETURN n.key AS key, n.name AS name, n.rank AS rank", "SELECT n_nationkey AS key, CASE n_nationkey WHEN 3 THEN 'changed' WHEN 5 THEN NULL ELSE n_name END AS name, CASE WHEN n_nationkey = 4 THEN 9 END::BIGINT AS rank FROM nation")
+edited("crud_rel_properties", lambda g: crud.remove_rel_property(crud.set_rel_property(crud.set_rel_property(g, IN_REGION + 3, "since", "1990"), IN_REGION + 4, "since", "2000"), IN_REGION + 4, "since"), "MATCH (n:Nation)-[r:IN_REGION]->() RETURN n.key AS key, r.since AS since", "SELECT n_nationkey AS key, CASE WHEN n_nationkey = 3 THEN 1990 END::BIGINT AS since FROM nation")
+edited("crud_labels", lambda g: crud.remove_label(crud.add_label(crud.add_label(g, NATION + 1, "Coastal"), NATION + 2, "NationX"), NATION + 2, "Nation"), "MATCH (n) WHERE n:Nation OR n:NationX UNWIND labels(n) AS label RETURN label, count(*) AS n", "SELECT 'Nation' AS label, (SELECT count(*) - 1 FROM nation) AS n UNION ALL SELECT 'Coastal', 1 UNION ALL SELECT 'NationX', 1")
+edited("crud_delete", lambda g: crud.delete_rel(crud.delete_node(g, NATION + 4, detach=True), IN_REGION + 6), "MATCH (n:Nation) OPTIONAL MATCH (n)-[r:IN_REGION]->(x) RETURN n.key AS key, x.key AS region", "SELECT n_nationkey AS key, CASE WHEN n_nationkey <> 6 THEN n_regionkey END AS region FROM nation WHERE n_nationkey <> 4")
+edited("crud_merge", lambda g: crud.merge_node(crud.merge_node(g, "Nation", {"key": 3}, on_match={"name": None, "seen": 1})[0], "Nation", {"key": 99}, on_create={"name": "new"})[0], "MATCH (n:Nation) RETURN n.key AS key, n.name AS name, n.seen AS seen", "SELECT n_nationkey AS key, CASE WHEN n_nationkey <> 3 THEN n_name END AS name, CASE WHEN n_nationkey = 3 THEN 1 END::BIGINT AS seen FROM nation UNION ALL SELECT 99, 'new', NULL")
+edited("crud_clear", crud.clear, "MATCH (n) RETURN count(*) AS n", "SELECT 0::BIGINT AS n")
+add("crud_get", lambda g: (lambda n, r: one(g.spark, id=n["id"], name=n["properties"]["name"], label=n["labels"][0], src=r["src"], dst=r["dst"], kind=r["type"], missing=crud.get_node(g, 5) is None))(crud.get_node(only(g, "IN_REGION"), NATION + 3), crud.get_rel(only(g, "IN_REGION"), IN_REGION + 3)), "SELECT 2000000000000 + n_nationkey AS id, n_name AS name, 'Nation' AS label, 2000000000000 + n_nationkey AS src, 1000000000000 + n_regionkey AS dst, 'IN_REGION' AS kind, true AS missing FROM nation WHERE n_nationkey = 3")
+add("read_only_guard", lambda g: one(g.spark, read=is_read_only("MATCH (n {name: 'SET x'}) RETURN n"), write=is_read_only("match (n) set n.x = 1"), delete=is_read_only("MATCH (n) DETACH DELETE n")), "SELECT true AS read, false AS write, false AS delete")
+
+
+def _saved(g: PropertyGraph) -> DataFrame:
+    path = f"{shared_folder(g.spark)}/saved-{uuid.uuid4().hex}"
+    with only(g, "IN_REGION", "LOCATED_IN") as own:
+        own.save(path)
+    return PropertyGraph.load(g.spark, path).query("MATCH (s:Supplier)-[:LOCATED_IN]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(s) AS suppliers, round(sum(s.acctbal), 2) AS balance")
+
+
+add("save_and_open", _saved, "SELECT r_name AS region, count(*) AS suppliers, round(sum(s_acctbal), 2)::DOUBLE AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+cypher(
+    "fn_conditional",
+    "MATCH (s:Supplier) RETURN s.key AS key, ifnull(nullif(s.key, 3), -1) AS a, iif(s.acctbal > 0, 'in', 'out') AS b, typeof(s.acctbal) AS t",
+    "SELECT s_suppkey AS key, coalesce(nullif(s_suppkey, 3), -1) AS a, CASE WHEN s_acctbal > 0 THEN 'in' ELSE 'out' END AS b, 'real' AS t FROM supplier",
+)
+cypher(
+    "optional_match_exists",
+    "MATCH (n:Nation) OPTIONAL MATCH (s:Supplier)-[:LOCATED_IN]->(n) WHERE s.acctbal > 0 AND EXISTS { (s)-[:LOCATED_IN]->(m:Nation)-[:IN_REGION]->(r:Region) WHERE r.key < 2 } RETURN n.key AS key, count(s) AS n",
+    "SELECT n_nationkey AS key, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 AND n_regionkey < 2 GROUP BY 1",
+)
+
+
 def queries() -> dict[str, Query]:
     from .power import queries as power
 

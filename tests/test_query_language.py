@@ -125,3 +125,25 @@ def test_single_edits(g):
     g3, m = crud.merge_node(g, "Bus", {"name": "new"}, on_create={"z": 2})
     assert crud.get_node(g3, m)["properties"] == {"name": "new", "z": 2}
     assert crud.clear(g3).labels() == []
+
+
+def test_long_paths_have_no_cap(spark):
+    n = 68
+    chain = PropertyGraph(spark).with_nodes(["P"], spark.createDataFrame([(i, i) for i in range(n)], "id long, key long"))
+    chain = chain.with_rels("NEXT", spark.createDataFrame([(i, i, i + 1) for i in range(n - 1)], "id long, src long, dst long"), ["P"], ["P"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = rows(chain, "MATCH p = shortestPath((a:P {key: 0})-[:NEXT*]->(b:P)) RETURN b.key AS b, length(p) AS hops ORDER BY b")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == [(i, i) for i in range(1, n)]
+
+
+def test_exists_in_optional_match(spark):
+    g = PropertyGraph(spark).with_nodes(["A"], spark.createDataFrame([(i, i) for i in range(1, 5)], "id long, k long"))
+    g = g.with_rels("T", spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 1, 4)], "id long, src long, dst long"), ["A"], ["A"])
+    text = "UNWIND [1, 1, 2, 4] AS k MATCH (a:A) WHERE a.k = k OPTIONAL MATCH (a)-[:T]->(b) WHERE EXISTS { (b)-[:T]->(c) } RETURN k, b.k AS b ORDER BY k"
+    assert rows(g, text) == [(1, 2), (1, 2), (2, None), (4, None)]
+    text = text.replace("WHERE EXISTS", "WHERE b.k = 4 OR NOT EXISTS")
+    assert rows(g, text) == [(1, 4), (1, 4), (2, 3), (4, None)]
