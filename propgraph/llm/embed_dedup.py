@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     near = found.filter("key <> root").select("key", "root")
     for side in ("key", "root"):
         near = near.join(node.select(F.col("key").alias(side), F.col("node").alias(f"node_{side}")), side)
-    roots = components(near, "node_key", "node_root").select(F.col("node.key").alias("key"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
+    roots = components(near, "node_key", "node_root", few=0).select(F.col("node.key").alias("key"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
     named = classes.join(roots, "key", "left").join(counts, "key", "left")
     name = F.when(F.col("linked"), F.col("top")).otherwise(F.col("least"))
     named = named.select(F.col("vector").alias("v"), "n", name.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = links(distinct, found[0], radius)
     for side in ("a", "b"):
         near = near.join(distinct.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}")), side)
-    roots = components(near, "node_a", "node_b").select(F.col("node.fp").alias("print"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
+    roots = components(near, "node_a", "node_b", few=0).select(F.col("node.fp").alias("print"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
     by_print = distinct.join(roots, F.col("fp") == F.col("print"), "left")
     by_print = by_print.select(F.col("fp").alias("print"), "n", F.when(F.col("linked"), F.col("top")).otherwise(F.col("node.least")).alias("component_id"))
     return lookup(prints, "fp", by_print, "print", "n", found[1] or 0).select("doc_id", "fp", "component_id")
@@ -232,12 +232,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component one, the least by id (null ids last), then by digest of the text.
 
-    Exactly repeated rows are told apart by nothing; of those that stay the first met does.
+    Exactly repeated rows are told apart by nothing; of those that stay the first met does. Whole rows
+    move once: the join and the choice among repeated rows share one key.
     """
     digest = F.unhex(F.md5(F.col(text)))
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
     found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", size, radius)
-    stay = found.filter("doc_id <=> component_id").select(F.col("doc_id.id").alias("__stay"), F.col("doc_id.digest").alias("__text")).distinct()
-    rows = docs.withColumn("__digest", digest)
-    rows = rows.join(stay, F.col(doc_id).eqNullSafe(F.col("__stay")) & F.col("__digest").eqNullSafe(F.col("__text")), "left_semi")
-    return rows.dropDuplicates([doc_id, "__digest"]).drop("__digest")
+    stay = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
+    rows = docs.withColumn("__key", key)  # a struct is never null, and equals another where both hold the same nulls
+    return rows.join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
