@@ -90,7 +90,8 @@ _ACCESS = re.compile(rf"(?<![{WORDCHARS}])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![{WORDCH
 _IBAN = re.compile(rf"(?<![{WORDCHARS}])[A-Z]{{2}}\d{{2}}(?: ?[0-9A-Z]{{4}}){{3,7}}(?: ?[0-9A-Z]{{1,3}})?(?![{WORDCHARS}])")
 _TITLED = re.compile(r"([MHFSDPгГ][a-zñéа-я]{1,9})(?=\.? ((?:[A-ZА-ЯÀ-Þ][a-zа-яß-ÿ]+(?:[-'][A-ZА-ЯÀ-Þ][a-zа-яß-ÿ]+)?)(?: [A-ZА-ЯÀ-Þ][a-zа-яß-ÿ]+(?:[-'][A-ZА-ЯÀ-Þ][a-zа-яß-ÿ]+)?)?))")
 _SURNAME = r"[A-ZА-ЯÀ-Þ][a-zа-яß-ÿ]+(?:[-'][A-ZА-ЯÀ-Þ][a-zа-яß-ÿ]+)?"
-_UNTITLED = re.compile(rf"(?<!\w)({'|'.join(GIVEN_OF)}) {_SURNAME}(?!\w)")
+#: Starts with a capital, so most text is passed over fast; whether the first word is a given name is looked up.
+_UNTITLED = re.compile(rf"([A-ZА-Я][a-zа-я]{{1,9}})(?= ({_SURNAME})(?!\w))")
 _GENDER_OF = {n: g for (_, g), own in GIVEN.items() for n in own}
 _GENDER = {t: g for g, own in TITLES.items() for t in own}
 _IBAN_START = re.compile(r"[A-Z]{2}\d{2}")
@@ -172,7 +173,9 @@ def find(text: str) -> list[Span]:
     for m in _TITLED.finditer(text):
         if m[1] in _GENDER and not (m.start() and text[m.start() - 1].isalnum()):
             names.append((5, *m.span(2), "name_" + _GENDER[m[1]]))
-    names += [(6, *m.span(), "name_" + _GENDER_OF[m[1]]) for m in _UNTITLED.finditer(text)]
+    for m in _UNTITLED.finditer(text):
+        if m[1] in _GENDER_OF and not (m.start() and text[m.start() - 1].isalnum()):
+            names.append((6, m.start(), m.end(2), "name_" + _GENDER_OF[m[1]]))
     if names:
         mentions: dict[str, str] = {}
         for _, a, b, kind in names:
