@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import FEW, components
 from .common import cut, lookup
 
 SHINGLE = 4
@@ -209,12 +209,13 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = BAND) -
     return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_band_kernel(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, few: int = 0) -> DataFrame:
     """``doc_id, fp, component_id`` of every document; the component is named by its least id.
 
     A node is a fingerprint together with the least id that has it, ordered by that id, so the root of a
     component carries the component's name. Fingerprints that many documents share meet them by a
-    broadcast (``lookup``).
+    broadcast (``lookup``). ``few``: links of which one node may gather all in one task, for smaller
+    plans; the rows are the same.
     """
     prints = cut(fingerprints(docs, doc_id, text, size))
     node = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = links(distinct, found[0], radius)
     for side in ("a", "b"):
         near = near.join(distinct.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}")), side)
-    roots = components(near, "node_a", "node_b", few=0).select(F.col("node.fp").alias("print"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
+    roots = components(near, "node_a", "node_b", few=few).select(F.col("node.fp").alias("print"), F.col("root.least").alias("top"), F.lit(True).alias("linked"))
     by_print = distinct.join(roots, F.col("fp") == F.col("print"), "left")
     by_print = by_print.select(F.col("fp").alias("print"), "n", F.when(F.col("linked"), F.col("top")).otherwise(F.col("node.least")).alias("component_id"))
     return lookup(prints, "fp", by_print, "print", "n", found[1] or 0).select("doc_id", "fp", "component_id")
@@ -237,7 +238,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     """
     digest = F.unhex(F.md5(F.col(text)))
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", size, radius)
+    found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", size, radius, FEW)
     stay = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
     rows = docs.withColumn("__key", key)  # a struct is never null, and equals another where both hold the same nulls
     return rows.join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
