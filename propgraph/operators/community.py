@@ -59,23 +59,26 @@ def modularity(graph: PropertyGraph, communities: DataFrame, rel_type: str | Non
     return inside / m - float(degree.agg(F.sum(F.col("a") * F.col("a"))).first()[0])
 
 
-def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:
+def label_propagation_communities(graph: PropertyGraph, rel_type: str | None = None, rounds: int | None = None) -> DataFrame:
     """``node_id, component``: nodes take the label most of their neighbours have, of equal ones their own if it is among them, else the greatest.
 
-    Each round a half of the nodes, by a hash of id and round, moves, so that neighbours do not swap
-    for ever; it ends when no node wants another label.
+    Of neighbours that want to move in one round only the one of least hash of id and round does, so
+    every move makes more edges join equal labels, and it ends: when no node wants another label, or after
+    ``rounds`` rounds if that is given.
     """
     e = cut(both_ways(simple(edges(graph, rel_type))).select("src", "dst"))
     state = cut(vertices(graph, rel_type).select("node_id", F.col("node_id").alias("label")))
-    for turn in itertools.count():
+    for turn in itertools.count() if rounds is None else range(rounds):
         votes = e.join(state, F.col("dst") == F.col("node_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
         own = state.select(F.col("node_id").alias("src"), F.col("label").alias("own"))
         best = votes.join(own, "src").groupBy("src").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("same"), "label")).alias("b")).select("src", F.col("b.label").alias("new"))
-        wants = F.coalesce(F.col("new") != F.col("label"), F.lit(False))
-        moves = wants & (F.xxhash64("node_id", F.lit(turn)) % 2 == 0)
-        after = cut(state.join(best, F.col("node_id") == F.col("src"), "left").select("node_id", F.when(moves, F.col("new")).otherwise(F.col("label")).alias("label"), wants.alias("wants")))
-        state = after.drop("wants")
-        if after.filter("wants").isEmpty():
+        rank = F.struct(F.xxhash64("node_id", F.lit(turn)), "node_id")
+        wants = cut(state.join(best, F.col("node_id") == F.col("src")).filter("new <> label").select("node_id", "new", rank.alias("rank")))
+        if wants.isEmpty():
             break
+        x, y = (wants.select(F.col("node_id").alias(side), F.col("rank").alias(f"rank_{side}")) for side in ("src", "dst"))
+        waits = e.join(x, "src").join(y, "dst").filter("rank_dst < rank_src").select(F.col("src").alias("node_id")).distinct()
+        moves = wants.join(waits, "node_id", "left_anti").select("node_id", "new")
+        state = cut(state.join(moves, "node_id", "left").select("node_id", F.coalesce("new", "label").alias("label")))
     roots = state.groupBy("label").agg(F.min("node_id").alias("root"))
     return numbered(state.join(roots, "label").select("node_id", "root"))
