@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph, col
 from . import kernels
-from .common import KERNEL_EDGES, both_ways, collected, cut, directed_simple, edges, number, per_source, simple, small, vertices
+from .common import KERNEL_EDGES, Csr, both_ways, collected, cut, directed_simple, edges, number, over_sources, simple, small, vertices
 from .structure import simple_degree
-from .traverse import all_pairs_hops
+from .traverse import all_pairs_reach
 
 
 def degree_centrality(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:
@@ -60,22 +61,23 @@ def _dependencies(nodes: DataFrame, e: DataFrame, weighted: bool, of_edges: bool
 
             raise TooLarge("weighted betweenness of a graph over the kernel's bound")
         return _dependencies_by_level(nodes, e, of_edges)
-    graph = collected(nodes, e, bound)
-
-    def kernel(g, sources: np.ndarray) -> pd.DataFrame:
-        node, edge = np.zeros(g.n), np.zeros(len(g.to))
-        for s in sources:
-            a, b = kernels.dependencies(g, int(s), weighted)
-            node += a
-            edge += b
+    e = e if weighted else e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))  # parallel edges are ways
+
+    def kernel(g: Csr, sources: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        if weighted:
+            lists, value = (g.first.tolist(), g.to.tolist(), g.weight.tolist()), np.zeros(len(g.to) if of_edges else g.n)
+            for s in sources:
+                value += kernels.weighted_dependencies(g, int(s), lists)[of_edges]
+        else:
+            value = kernels.dependencies(g, sources, of_edges)
         if of_edges:
-            owner = np.repeat(np.arange(g.n), np.diff(g.first))
-            return pd.DataFrame({"src": g.nodes[owner], "dst": g.nodes[g.to], "value": edge})
-        return pd.DataFrame({"node_id": g.nodes, "value": node})
+            yield {"src": np.repeat(g.nodes, np.diff(g.first)), "dst": g.nodes[g.to], "value": value}
+        else:
+            yield {"node_id": g.nodes, "value": value}
 
-    if of_edges:
-        return per_source(nodes, graph, kernel, "src long, dst long, value double").groupBy("src", "dst").agg(F.sum("value").alias("value"))
-    return per_source(nodes, graph, kernel, "node_id long, value double").groupBy("node_id").agg(F.sum("value").alias("value"))
+    keys = ["src", "dst"] if of_edges else ["node_id"]
+    parts = over_sources(nodes.sparkSession, collected(nodes, e, bound), kernel, ", ".join(f"{k} long" for k in keys) + ", value double")
+    return parts.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 
 def _dependencies_by_level(nodes: DataFrame, e: DataFrame, of_edges: bool) -> DataFrame:
@@ -141,7 +143,7 @@ def closeness_centrality(graph: PropertyGraph, rel_type: str | None = None, weig
     """``node_id, closeness``, scaled by the share of nodes that are reached."""
     nodes = vertices(graph, rel_type)
     n = nodes.count()
-    sums = all_pairs_hops(graph, rel_type, weight_key, bound).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
+    sums = all_pairs_reach(graph, rel_type, weight_key, bound).select("node_id", F.col("reached").alias("r"), "total")
     value = F.when(F.col("total") > 0, (F.col("r") - 1) / F.lit(float(max(n - 1, 1))) * ((F.col("r") - 1) / F.col("total"))).otherwise(0.0)
     return nodes.join(sums, "node_id", "left").select("node_id", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 

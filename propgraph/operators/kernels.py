@@ -4,45 +4,75 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 
 from .common import Csr
 
 
-def hops(g: Csr, s: int) -> np.ndarray:
-    """Steps from ``s`` to every node, by whole levels."""
-    out = np.full(g.n, np.inf)
-    out[s] = 0
-    level = np.array([s])
-    d = 0
-    while len(level):
+def levels(g: Csr, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Up to 64 sources at once, each a bit: of every step 0, 1, ... the nodes' bits of the sources that first reach them."""
+    filled = np.flatnonzero(np.diff(g.first))
+    starts = g.first[filled]
+    seen = np.zeros(g.n, np.uint64)
+    seen[sources] = np.uint64(1) << np.arange(len(sources), dtype=np.uint64)
+    new, d = seen.copy(), 0
+    while new.any():
+        yield d, new
+        got = np.zeros(g.n, np.uint64)
+        if len(filled):
+            got[filled] = np.bitwise_or.reduceat(new[g.to], starts)
+        new = got & ~seen
+        seen |= new
         d += 1
-        reached = np.concatenate([g.to[g.first[v] : g.first[v + 1]] for v in level])
-        level = np.unique(reached[np.isinf(out[reached])])
-        out[level] = d
-    return out
 
 
-def dijkstra(g: Csr, s: int) -> np.ndarray:
-    out = np.full(g.n, np.inf)
+def reach(g: Csr, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By node of an undirected graph: how many of ``sources`` it joins, the sum and the greatest of their steps."""
+    reached, total, farthest = (np.zeros(g.n, np.int64) for _ in range(3))
+    for i in range(0, len(sources), 64):
+        for d, new in levels(g, sources[i : i + 64]):
+            count = np.bitwise_count(new)
+            reached += count
+            total += d * count.astype(np.int64)
+            farthest[(count > 0) & (farthest < d)] = d
+    return reached, total, farthest
+
+
+def hops(g: Csr, sources: np.ndarray) -> np.ndarray:
+    """Steps from up to 64 nodes (rows) along stored edges taken from their ends, that is of an undirected graph; -1 where nothing leads."""
+    out = np.full((g.n, len(sources)), -1, np.int32)
+    for d, new in levels(g, sources):
+        at = np.flatnonzero(new)
+        bits = np.unpackbits(new[at].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, column = np.nonzero(bits)
+        out[at[row], column] = d
+    return np.ascontiguousarray(out.T)
+
+
+def dijkstra(g: Csr, s: int, lists: tuple[list, list, list] | None = None) -> np.ndarray:
+    """``lists``: the graph's ``first``, ``to`` and ``weight`` as lists, if many sources share them."""
+    first, to, weight = lists or (g.first.tolist(), g.to.tolist(), g.weight.tolist())
+    out = [np.inf] * g.n
     out[s] = 0.0
     heap = [(0.0, s)]
     while heap:
         d, v = heapq.heappop(heap)
         if d > out[v]:
             continue
-        for k in range(g.first[v], g.first[v + 1]):
-            new = d + g.weight[k]
-            if new < out[g.to[k]]:
-                out[g.to[k]] = new
-                heapq.heappush(heap, (new, int(g.to[k])))
-    return out
+        for k in range(first[v], first[v + 1]):
+            new = d + weight[k]
+            w = to[k]
+            if new < out[w]:
+                out[w] = new
+                heapq.heappush(heap, (new, w))
+    return np.array(out)
 
 
-def dependencies(g: Csr, s: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """How much shortest paths from ``s`` depend on each node and on each stored edge (parallel edges count as ways)."""
-    dist = dijkstra(g, s) if weighted else hops(g, s)
+def weighted_dependencies(g: Csr, s: int, lists: tuple[list, list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How much cheapest paths from ``s`` depend on each node and on each stored edge (parallel edges count as ways)."""
+    dist = dijkstra(g, s, lists)
     order = [int(v) for v in np.argsort(dist, kind="stable") if np.isfinite(dist[v])]
     sigma = np.zeros(g.n)
     sigma[s] = 1.0
@@ -51,8 +81,7 @@ def dependencies(g: Csr, s: int, weighted: bool) -> tuple[np.ndarray, np.ndarray
         keep = []
         for k in range(g.first[v], g.first[v + 1]):
             w = g.to[k]
-            step = g.weight[k] if weighted else 1.0
-            if w != v and abs(dist[v] + step - dist[w]) <= 1e-12 * max(1.0, dist[w]):
+            if w != v and abs(dist[v] + g.weight[k] - dist[w]) <= 1e-12 * max(1.0, dist[w]):
                 sigma[w] += sigma[v]
                 keep.append(k)
         on_path[v] = keep
@@ -66,6 +95,45 @@ def dependencies(g: Csr, s: int, weighted: bool) -> tuple[np.ndarray, np.ndarray
     return node, edge
 
 
+def dependencies(g: Csr, sources: np.ndarray, of_edges: bool) -> np.ndarray:
+    """How much shortest paths from ``sources`` depend on each node, or on each stored edge; ``g.weight`` says how many ways an edge stands for.
+
+    A batch of sources goes forward by levels, each (source, node) pair once, then back.
+    """
+    node, edge = np.zeros(g.n), np.zeros(len(g.to) if of_edges else 0)
+    degree = np.diff(g.first)
+    size = max(1, min(32, 6_000_000 // (g.n + len(g.to) + 1)))
+    for i in range(0, len(sources), size):
+        part = sources[i : i + size].astype(np.int64)
+        new = np.arange(len(part)) * g.n + part
+        seen = np.zeros(len(part) * g.n, bool)
+        sigma, later = np.zeros(len(seen)), np.zeros(len(seen))
+        mark = np.zeros(len(seen), np.int32)
+        seen[new], sigma[new] = True, 1.0
+        steps = []
+        while len(new):
+            v = new % g.n
+            n = degree[v]
+            at = np.arange(n.sum()) + np.repeat(g.first[v] - (np.cumsum(n) - n), n)
+            to = g.to[at] + np.repeat(new - v, n)
+            keep = np.flatnonzero(~seen[to])
+            to, at, came = to[keep], at[keep], np.repeat(new, n)[keep]
+            np.add.at(sigma, to, sigma[came] * g.weight[at])
+            order = np.arange(len(to), dtype=np.int32)
+            mark[to] = order
+            new = to[mark[to] == order]
+            seen[new] = True
+            steps.append((came, to, at))
+        for came, to, at in reversed(steps):
+            share = sigma[came] * g.weight[at] / sigma[to] * (1 + later[to])
+            np.add.at(later, came, share)
+            if of_edges:
+                np.add.at(edge, at, share)
+        later[np.arange(len(part)) * g.n + part] = 0.0
+        node += later.reshape(len(part), g.n).sum(axis=0)
+    return edge if of_edges else node
+
+
 def low_links(g: Csr) -> tuple[set[int], set[int]]:
     """Relationship ids of bridges and places of articulation points of an undirected multigraph (edges stored from both ends)."""
     number, low = [-1] * g.n, [0] * g.n

@@ -11,13 +11,13 @@ from ..graph import PropertyGraph
 from .common import both_ways, cut, edges, simple, vertices
 from .matrix import fiedler_value
 from .structure import clustering_global, degree, find_articulation_points, find_bridges
-from .traverse import all_pairs_hops, distances, is_connected, roots
+from .traverse import all_pairs_reach, is_connected, reach, roots
 
 
 def graph_diameter(graph: PropertyGraph, rel_type: str | None = None, weight_key: str | None = None) -> float:
     """The greatest distance; infinite if some pair is not joined, 0 without nodes."""
     n = vertices(graph, rel_type).count()
-    r = all_pairs_hops(graph, rel_type, weight_key).agg(F.count("*"), F.max("dist")).first()
+    r = all_pairs_reach(graph, rel_type, weight_key).agg(F.sum("reached"), F.max("farthest")).first()
     if not n:
         return 0.0
     return float(r[1]) if r[0] == n * n else math.inf
@@ -30,21 +30,21 @@ def _largest(graph: PropertyGraph, rel_type: str | None) -> DataFrame:
     return found.join(F.broadcast(first.select("root")), "root").select("node_id")  # one row
 
 
-def _inner_distances(graph: PropertyGraph, rel_type: str | None) -> DataFrame:
+def _inner_reach(graph: PropertyGraph, rel_type: str | None) -> DataFrame:
     nodes = cut(_largest(graph, rel_type))
     e = simple(edges(graph, rel_type)).join(nodes, F.col("src") == F.col("node_id"), "left_semi")
-    return distances(nodes, both_ways(e), False)
+    return reach(nodes, both_ways(e))
 
 
 def average_shortest_path_length(graph: PropertyGraph, rel_type: str | None = None) -> float:
     """Mean distance of different nodes, in the largest component."""
-    r = _inner_distances(graph, rel_type).filter("src <> dst").agg(F.avg("dist")).first()
-    return float(r[0]) if r[0] is not None else 0.0
+    r = _inner_reach(graph, rel_type).agg(F.sum("total"), F.sum(F.col("reached") - 1)).first()
+    return float(r[0]) / float(r[1]) if r[1] else 0.0
 
 
 def eccentricity(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:
     """``node_id, eccentricity`` in the largest component."""
-    return _inner_distances(graph, rel_type).groupBy(F.col("src").alias("node_id")).agg(F.max("dist").cast("long").alias("eccentricity"))
+    return _inner_reach(graph, rel_type).select("node_id", F.col("farthest").cast("long").alias("eccentricity"))
 
 
 def radius(graph: PropertyGraph, rel_type: str | None = None) -> int:
@@ -99,7 +99,7 @@ def rich_club_coefficient(graph: PropertyGraph, rel_type: str | None = None) ->
 
 def wiener_index(graph: PropertyGraph, rel_type: str | None = None, weight_key: str | None = None) -> float:
     """Sum of the distances of joined pairs."""
-    return float(all_pairs_hops(graph, rel_type, weight_key).agg(F.sum("dist")).first()[0] or 0.0) / 2
+    return float(all_pairs_reach(graph, rel_type, weight_key).agg(F.sum("total")).first()[0] or 0.0) / 2
 
 
 def network_robustness(graph: PropertyGraph, rel_type: str | None = None) -> dict:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from . import kernels
-from .common import both_ways, collected, cut, edges, per_source, placed, simple, small, vertices
+from .common import KERNEL_EDGES, Csr, both_ways, collected, cut, edges, over_sources, placed, simple, small, vertices
 from .components import components
 
 PATH = "array<struct<node_id: bigint, rel_id: bigint>>"
@@ -177,21 +178,18 @@ def all_pairs_hops(graph: PropertyGraph, rel_type: str | None = None, weight_key
 
 
 def distances(nodes: DataFrame, e: DataFrame, weighted: bool, bound: int | None = None) -> DataFrame:
-    from .common import KERNEL_EDGES
-
     bound = KERNEL_EDGES if bound is None else bound
     if small(e, bound) and small(nodes, bound):
-        graph = collected(nodes, e, bound)
 
-        def kernel(g, sources: np.ndarray) -> pd.DataFrame:
-            parts = []
-            for s in sources:
-                d = kernels.dijkstra(g, int(s)) if weighted else kernels.hops(g, int(s))
-                at = np.flatnonzero(np.isfinite(d))
-                parts.append(pd.DataFrame({"src": g.nodes[s], "dst": g.nodes[at], "dist": d[at]}))
-            return pd.concat(parts)
+        def kernel(g: Csr, sources: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+            lists = (g.first.tolist(), g.to.tolist(), g.weight.tolist()) if weighted else None
+            for i in range(0, len(sources), size := max(1, min(64, 20_000_000 // max(1, g.n)))):
+                part = sources[i : i + size]
+                for s, d in zip(part, (kernels.dijkstra(g, int(s), lists) for s in part) if weighted else kernels.hops(g, part)):
+                    at = np.flatnonzero(np.isfinite(d) if weighted else d >= 0)
+                    yield {"src": np.full(len(at), g.nodes[s]), "dst": g.nodes[at], "dist": d[at].astype(float)}
 
-        return per_source(nodes, graph, kernel, "src long, dst long, dist double")
+        return over_sources(nodes.sparkSession, collected(nodes, e, bound), kernel, "src long, dst long, dist double")
     state = cut(nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist")))
     moved = state
     step = e.select(F.col("src").alias("at"), F.col("dst").alias("next"), "weight" if weighted else F.lit(1.0).alias("weight"))
@@ -202,3 +200,27 @@ def distances(nodes: DataFrame, e: DataFrame, weighted: bool, bound: int | None
         after = cut(joined.select("src", "dst", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("moved")))
         moved, state = after.filter("moved").drop("moved"), after.drop("moved")
     return state
+
+
+def reach(nodes: DataFrame, e: DataFrame, weighted: bool = False, bound: int | None = None) -> DataFrame:
+    """``node_id, reached, total, farthest``: how many nodes each reaches, itself included, the sum of its distances and the greatest.
+
+    Without weights, in a graph that fits a worker, bits of 64 sources spread at once and no pair becomes
+    a row; else the rows of ``distances`` are summed up.
+    """
+    bound = KERNEL_EDGES if bound is None else bound
+    if weighted or not (small(e, bound) and small(nodes, bound)):
+        return distances(nodes, e, weighted, bound).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("reached"), F.sum("dist").alias("total"), F.max("dist").alias("farthest"))
+
+    def kernel(g: Csr, sources: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        reached, total, farthest = kernels.reach(g, sources)
+        at = np.flatnonzero(reached)
+        yield {"node_id": g.nodes[at], "reached": reached[at], "total": total[at], "farthest": farthest[at]}
+
+    parts = over_sources(nodes.sparkSession, collected(nodes, e, bound), kernel, "node_id long, reached long, total long, farthest long")
+    return parts.groupBy("node_id").agg(F.sum("reached").alias("reached"), F.sum("total").cast("double").alias("total"), F.max("farthest").cast("double").alias("farthest"))
+
+
+def all_pairs_reach(graph: PropertyGraph, rel_type: str | None = None, weight_key: str | None = None, bound: int | None = None) -> DataFrame:
+    """``reach`` over the simple undirected graph."""
+    return reach(vertices(graph, rel_type), both_ways(simple(edges(graph, rel_type, weight_key))), weight_key is not None, bound)
