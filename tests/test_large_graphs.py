@@ -1,13 +1,15 @@
 """Kernels for graphs of many nodes, against plain searches."""
 
+import itertools
 import random
+import time
 from collections import deque
 
 import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
-from propgraph.operators import centrality, kernels, metrics, traverse
+from propgraph.operators import centrality, flow, kernels, matrix, metrics, traverse
 from propgraph.operators.common import Csr
 
 from . import toys
@@ -66,3 +68,92 @@ def test_distance_sums_take_no_row_for_each_pair_and_no_objects_on_the_driver(sp
     assert {r[0]: r[1] for r in metrics.eccentricity(g).collect()} == dict(zip(nodes, want.max(axis=1)))
     assert {r[0] for r in metrics.center(g).collect()} == {v for v, e in zip(nodes, want.max(axis=1)) if e == want.max(axis=1).min()}
     assert {r[0]: pytest.approx(r[1]) for r in centrality.closeness_centrality(g).collect()} == {v: (len(nodes) - 1) / s for v, s in zip(nodes, want.sum(axis=1).tolist())}
+
+
+def merged_plainly(n, links):
+    """Greedy merging with a label for each node changed at every union, as it was."""
+    group, m = list(range(n)), len(links)
+    while True:
+        degree, between = [0] * n, {}
+        for a, b in links:
+            x, y = sorted((group[a], group[b]))
+            degree[x] += 1
+            degree[y] += 1
+            if x != y:
+                between[x, y] = between.get((x, y), 0) + 1
+        best = min(((-(2 * m * w - degree[x] * degree[y]), x, y) for (x, y), w in between.items()), default=(0, 0, 0))
+        if best[0] >= 0:
+            return group
+        group = [best[1] if c == best[2] else c for c in group]
+
+
+def test_merging_communities_is_quick_and_the_same():
+    for seed in range(5):
+        links = chains(random.Random(seed), 8, 4, 2)
+        assert kernels.modularity_merge(32, [(a, b, 1.0) for a, b in links]) == merged_plainly(32, links)
+    links = chains(random.Random(9), 1000, 40, 2)  # relabelling all 40,000 nodes at each union took over a minute
+    began = time.process_time()
+    kernels.modularity_merge(40_000, [(a, b, 1.0) for a, b in links])
+    assert time.process_time() - began < 30
+
+
+def split(n, links, gone):
+    near = {v: set() for v in range(n) if v not in gone}
+    for a, b in links:
+        if a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    seen, todo = set(), [min(near)]
+    while todo:
+        v = todo.pop()
+        if v not in seen:
+            seen.add(v)
+            todo += near[v]
+    return len(seen) < len(near)
+
+
+def test_connectivity_against_every_cut():
+    rng = random.Random(4)
+    for _ in range(40):
+        n = rng.randint(3, 8)
+        links = [p for p in itertools.combinations(range(n), 2) if rng.random() < rng.choice([0.5, 0.8])]
+        if not links or split(n, links, ()):
+            continue
+        nodes = next((k for k in range(1, n - 1) for gone in itertools.combinations(range(n), k) if split(n, links, gone)), n - 1)
+        cuts = min(sum((a in side) != (b in side) for a, b in links) for k in range(1, n) for side in map(set, itertools.combinations(range(n), k)))
+        assert (kernels.edge_connectivity(n, links), kernels.node_connectivity(n, links)) == (cuts, nodes)
+
+
+def test_connectivity_of_many_nodes(spark):
+    n = 3000  # a ring: a search for each node took minutes
+    g = toys.graph(spark, [(i, i, (i + 1) % n) for i in range(n)])
+    began = time.time()
+    assert (flow.edge_connectivity(g), flow.node_connectivity(g)) == (2, 2)
+    assert time.time() - began < 60
+
+
+def test_spectra_beyond_the_dense_bound(spark, monkeypatch):
+    links = chains(random.Random(6), 20, 6, 2)
+    g = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate(links + links[:30])])
+    value, vector, halves = matrix.fiedler_value(g), toys.values(matrix.fiedler_vector(g)), toys.values(matrix.spectral_partition(g))
+    monkeypatch.setattr(matrix, "DENSE", 10)
+    assert value > 0 and matrix.fiedler_value(g) == pytest.approx(value, abs=1e-10)
+    assert toys.values(matrix.fiedler_vector(g)) == pytest.approx(vector, abs=1e-7)
+    assert toys.values(matrix.spectral_partition(g)) == halves
+    assert set(toys.values(matrix.spectral_partition(g, n_clusters=4))) == set(halves)
+    two = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate(links + [(a + 1000, b + 1000) for a, b in links])])
+    assert matrix.fiedler_value(two) == 0.0
+    cluster = toys.values(matrix.spectral_partition(two))
+    assert all(cluster[a] == cluster[b] for a, b in links)
+    assert metrics.network_robustness(g)["fiedler_value"] == pytest.approx(value, abs=1e-10)
+
+
+def test_dependencies_of_batches_and_by_level_agree(spark, monkeypatch):
+    links = chains(random.Random(7), 9, 4, 2)
+    g = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate(links + links[:10])])
+    nodes = toys.values(centrality.betweenness_centrality(g, bound=0))
+    edges = {(r[0], r[1]): r[2] for r in centrality.edge_betweenness_centrality(g, bound=0).collect()}
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("rows as objects"))
+    assert toys.values(centrality.betweenness_centrality(g)) == pytest.approx(nodes)
+    assert {(r[0], r[1]): r[2] for r in centrality.edge_betweenness_centrality(g).collect()} == pytest.approx(edges)
+    assert toys.values(centrality.betweenness_centrality(g, multigraph=False)) == pytest.approx(toys.values(centrality.betweenness_centrality(g, multigraph=False, bound=0)))
