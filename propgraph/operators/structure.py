@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from . import kernels
 from .common import KERNEL_EDGES, Csr, TooLarge, both_ways, cut, edges, simple, vertices
-from .traverse import is_connected, roots
+from .components import components
+from .traverse import is_connected
+
+#: Edges above which cuts are looked for in a thinner graph, and about as many as a task thins at once.
+SHARE = 500_000
 
 
 def degree(graph: PropertyGraph, rel_type: str | None = None) -> DataFrame:
@@ -74,20 +81,48 @@ def clustering_global(graph: PropertyGraph, rel_type: str | None = None) -> floa
     return float(r[0]) / float(r[1]) if r[1] else 0.0
 
 
-def _cuts(graph: PropertyGraph, rel_type: str | None) -> DataFrame:
+def thinned(e: DataFrame, share: int = SHARE) -> DataFrame:
+    """Edges (with ``src, dst``) of a subgraph with the same components, bridges and articulation points; all of them up to ``share``.
+
+    Each task puts a subgraph with the same blocks in place of its part of the edges. Without any node the
+    part joins the same nodes as before, so what the whole graph's cuts are does not change, however edges
+    are dealt. A round that leaves few fewer edges is followed by one of larger parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if found:
+            rows = pa.Table.from_batches(found).combine_chunks()
+            src, dst, at = rows["src"].to_numpy(), rows["dst"].to_numpy(), np.arange(rows.num_rows)
+            g = Csr(np.concatenate([src, dst]), np.concatenate([src, dst]), np.concatenate([dst, src]), rel=np.concatenate([at, at]))
+            kept = kernels.low_links(g)[2]
+            yield from rows.take(np.sort(np.fromiter(kept, np.int64, len(kept)))).to_batches(100_000)
+
+    m = e.count()
+    while m > share:
+        fewer = cut(e.repartitionByRange(-(-m // share), "dst", "src").mapInArrow(run, e.schema))
+        before, m, e = m, fewer.count(), fewer
+        if m > 0.8 * before:
+            share *= 4
+        if share > KERNEL_EDGES:
+            break
+    return e
+
+
+def _cuts(graph: PropertyGraph, rel_type: str | None, share: int = SHARE) -> DataFrame:
     """``kind, id``: bridges (relationship ids) and articulation points (node ids), component by component.
 
-    A component's edges meet in one task, after a check that none has over ``KERNEL_EDGES`` of them.
+    A component's edges meet in one task, after thinning them and a check that none has over ``KERNEL_EDGES`` left.
     """
-    e = both_ways(edges(graph, rel_type).filter("src <> dst")).select("src", "dst", "rel_id")
-    tagged = cut(e.join(roots(graph, rel_type).withColumnRenamed("node_id", "src"), "src"))
+    e = thinned(edges(graph, rel_type).filter("src <> dst").select("src", "dst", "rel_id"), share)
+    tagged = cut(both_ways(e).join(components(e, "src", "dst").withColumnRenamed("node", "src"), "src"))
     if not tagged.groupBy("root").count().filter(F.col("count") > 2 * KERNEL_EDGES).isEmpty():
         raise TooLarge(f"a component of over {KERNEL_EDGES} edges")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64)
         g = Csr(src, src, dst, rel=pdf["rel_id"].to_numpy(np.int64))
-        bridges, points = kernels.low_links(g)
+        bridges, points, _ = kernels.low_links(g)
         rows = [("bridge", b) for b in sorted(bridges)] + [("point", int(g.nodes[p])) for p in sorted(points)]
         return pd.DataFrame(rows, columns=["kind", "id"]).astype({"kind": "object", "id": "int64"})
 

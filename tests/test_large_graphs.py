@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
-from propgraph.operators import centrality, flow, kernels, matrix, metrics, traverse
+from propgraph.operators import centrality, community, flow, kernels, matrix, metrics, structure, traverse
 from propgraph.operators.common import Csr
 
 from . import toys
@@ -157,3 +157,33 @@ def test_dependencies_of_batches_and_by_level_agree(spark, monkeypatch):
     assert toys.values(centrality.betweenness_centrality(g)) == pytest.approx(nodes)
     assert {(r[0], r[1]): r[2] for r in centrality.edge_betweenness_centrality(g).collect()} == pytest.approx(edges)
     assert toys.values(centrality.betweenness_centrality(g, multigraph=False)) == pytest.approx(toys.values(centrality.betweenness_centrality(g, multigraph=False, bound=0)))
+
+
+def test_cuts_of_a_thinned_graph(spark):
+    rng = random.Random(8)
+    for bulk in (40, 160):
+        pairs = [(rng.randrange(30), rng.randrange(30, 60)) for _ in range(bulk)] + [(60, 61), (61, 0), (62, 63), (63, 64), (64, 62), (65, 64), (66, 67), (66, 67)]
+        g = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate(pairs)])
+        whole = set(map(tuple, structure._cuts(g, None).collect()))
+        assert whole and set(map(tuple, structure._cuts(g, None, share=20).collect())) == whole
+        e = structure.edges(g).select("src", "dst", "rel_id")
+    assert structure.thinned(e, 100).count() < len(pairs) and structure.thinned(e) is e
+
+
+def test_communities_by_component_are_those_of_the_whole(spark, monkeypatch):
+    parts = [[(a + 100 * i, b + 100 * i) for a, b in chains(random.Random(i), 6, 4, 2 + i)] for i in range(3)]
+    links = sorted(p for part in parts for p in part)
+    g = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate(links)], nodes=[999])
+    nodes = sorted({x for p in links for x in p})
+    place = {v: i for i, v in enumerate(nodes)}
+    group = kernels.local_moves(len(nodes), [(place[a], place[b], 1.0) for a, b in links])
+    seen = []
+    monkeypatch.setattr(community, "one_group", lambda *a: pytest.fail("all edges in one task"))
+    found = toys.values(community.community_detection(g, "LINE"))
+    names = {c: i for i, c in enumerate(dict.fromkeys(group))}
+    assert found == {v: names[c] for v, c in zip(nodes, group)}
+    for rounds in (2, None):
+        by_task = toys.values(community.label_propagation_communities(g, rounds=rounds))
+        assert by_task == toys.values(community.label_propagation_communities(g, rounds=rounds, bound=1))
+        seen.append(by_task)
+    assert seen[0] != seen[1] and 999 in seen[0]
