@@ -187,3 +187,13 @@ def test_communities_by_component_are_those_of_the_whole(spark, monkeypatch):
         assert by_task == toys.values(community.label_propagation_communities(g, rounds=rounds, bound=1))
         seen.append(by_task)
     assert seen[0] != seen[1] and 999 in seen[0]
+
+
+def test_all_pairs_bring_no_objects_to_the_driver(spark, monkeypatch):
+    links = chains(random.Random(10), 20, 5, 2)  # more nodes than one batch of sources
+    g = toys.graph(spark, [(i, a, b, 0.5) for i, (a, b) in enumerate(links)], props="x double")
+    nodes = sorted({x for p in links for x in p})
+    want = {(a, b): float(d) for a, row in enumerate(plain_hops(links, nodes[-1] + 1)) for b, d in enumerate(row) if d >= 0 and a in nodes and b in nodes}
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("rows as objects"))
+    assert {(r[0], r[1]): r[2] for r in traverse.all_pairs_hops(g).collect()} == want
+    assert {(r[0], r[1]): 2 * r[2] for r in matrix.electrical_distance(g, None, "x").collect()} == want
