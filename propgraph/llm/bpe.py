@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 # Classes of code points, with what follows them folded in.
 LETTER, NUMBER, OTHER, APO2, APO3, SPACE_JOINS, WHITE_LAST, WHITE, END = range(9)
 # States: what the character before leaves open.
@@ -398,7 +400,7 @@ def encode(df: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "
                 done += len(chunk)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(doc_id, text).mapInArrow(run, schema)
+    return df.select(doc_id, text).mapInArrow(lean(run), schema)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:

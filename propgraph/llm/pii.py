@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, lean
 
 KEY = b"propgraph surrogate key"
 INLINE = 20_000
@@ -419,7 +419,7 @@ def entities(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["body", "kind", "entity", "surrogate"])
 
-    return docs.select(F.xxhash64(text).alias("body"), text).mapInArrow(run, "body long, kind string, entity string, surrogate string")
+    return docs.select(F.xxhash64(text).alias("body"), text).mapInArrow(lean(run), "body long, kind string, entity string, surrogate string")
 
 
 def collisions(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -511,5 +511,5 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: str |
                 labels.append("spans")
             yield pa.RecordBatch.from_arrays(columns, labels)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *([F.col("spans").alias(spans)] if spans else []))

@@ -17,7 +17,7 @@ their number, and links leave a band as a star.
 Empty and null texts have fingerprint zero, linked like any other. A null id takes part in links but
 names no component unless its component has no other. Repeated rows share a fingerprint. An empty
 table gives no rows. Whole texts are read: a very long one is hashed shingle by shingle and its bits
-are counted ``BATCH`` shingles at a time. Only the id and text columns are looked at, so names of
+are counted ``PART`` shingles at a time. Only the id and text columns are looked at, so names of
 others do not matter; ``deduplicate`` returns all columns as they were.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import FEW, components
-from .common import cut, lookup
+from .common import cut, lean, lookup
 
 SHINGLE = 4
 RADIUS = 4
@@ -41,8 +41,9 @@ SEED = 42
 PIVOTS = 16
 #: Fingerprints that a band should hold on average, at most.
 BAND = 64
-#: Shingles hashed at once.
+#: Shingles hashed at once, and those whose bits are spread out at once.
 BATCH = 200_000
+PART = 8192
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -73,9 +74,13 @@ def fingerprint_batch(hashes: list[list[int]]) -> np.ndarray:
     full = np.flatnonzero(lengths)
     if len(full):
         flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(lengths.sum()))
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = lengths[full]
-        counts = np.add.reduceat(bits, np.cumsum(own) - own, axis=0, dtype=np.int64)
+        counts, ends = np.zeros((len(full), 64), np.int64), np.cumsum(own)
+        for a in range(0, len(flat), PART):
+            bits = np.unpackbits(flat[a : a + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first, last = np.searchsorted(ends, [a, a + len(bits) - 1], "right")
+            begins = np.maximum(ends[first : last + 1] - own[first : last + 1] - a, 0)
+            counts[first : last + 1] += np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
         out[full] = np.packbits(2 * counts > own[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out.view(np.int64)
 
@@ -97,7 +102,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
             done = np.concatenate(prints)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done)], ["doc_id", "fp"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def segments(n: int, radius: int = RADIUS, most: int = BAND) -> list[int]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, lean, tidy
 
 SPAN, STRIDE = 32, 24
 HIDDEN, ATTENTION = 8, 8
@@ -366,7 +366,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, characters: int
     own = F.broadcast(docs.sparkSession.createDataFrame(chosen, schema))  # at most ``most`` rows
     texts = rows.join(own, (F.col("doc_id") == F.col("own_id")) & (F.col("y") == F.col("own_y")) & (F.col("digest") == F.col("own_digest")), "left_semi")
     taken = texts.dropDuplicates(key).orderBy(*key).limit(most).select("text", "y").toPandas()
-    return train(taken["text"].tolist(), [int(v > 0) for v in taken["y"]])
+    net = train(taken["text"].tolist(), [int(v > 0) for v in taken["y"]])
+    del taken
+    tidy()
+    return net
 
 
 def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +380,7 @@ def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(net, batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, score double")
 
 
 def reject(docs: DataFrame, net: Net, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -388,4 +391,4 @@ def reject(docs: DataFrame, net: Net, text: str = "text", threshold: float = 0.5
         for batch in batches:
             yield batch.filter(pa.array(scores(net, batch.column(place).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
