@@ -54,7 +54,10 @@ def pagerank(graph: PropertyGraph, rel_type: str | None = None, damping: float =
 
 
 def _dependencies(nodes: DataFrame, e: DataFrame, weighted: bool, of_edges: bool, bound: int) -> DataFrame:
-    """Sums of dependencies over all sources: ``node_id, value``, or ``src, dst, value`` for stored directions."""
+    """Sums of dependencies over all sources: ``node_id, value``, or ``src, dst, value`` for stored directions.
+
+    Without weights and parallel edges, nodes on long chains are no sources of their own: their ends' searches serve them all.
+    """
     if not (small(e, bound) and small(nodes, bound)):
         if weighted:
             from .common import TooLarge
@@ -62,6 +65,10 @@ def _dependencies(nodes: DataFrame, e: DataFrame, weighted: bool, of_edges: bool
             raise TooLarge("weighted betweenness of a graph over the kernel's bound")
         return _dependencies_by_level(nodes, e, of_edges)
     e = e if weighted else e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))  # parallel edges are ways
+    g = collected(nodes, e, bound)
+    keys = ["src", "dst"] if of_edges else ["node_id"]
+    schema = ", ".join(f"{k} long" for k in keys) + ", value double"
+    ways, own, left = kernels.sources_by_chains(g) if not weighted and (g.weight == 1).all() else ([], np.zeros((0, 2), bool), np.arange(g.n))
 
     def kernel(g: Csr, sources: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
         if weighted:
@@ -69,14 +76,15 @@ def _dependencies(nodes: DataFrame, e: DataFrame, weighted: bool, of_edges: bool
             for s in sources:
                 value += kernels.weighted_dependencies(g, int(s), lists)[of_edges]
         else:
-            value = kernels.dependencies(g, sources, of_edges)
+            at = sources[sources < len(ways)]
+            value = kernels.chain_dependencies(g, [ways[i] for i in at], own[at], of_edges)
+            value += kernels.dependencies(g, left[sources[sources >= len(ways)] - len(ways)], of_edges)
         if of_edges:
             yield {"src": np.repeat(g.nodes, np.diff(g.first)), "dst": g.nodes[g.to], "value": value}
         else:
             yield {"node_id": g.nodes, "value": value}
 
-    keys = ["src", "dst"] if of_edges else ["node_id"]
-    parts = over_sources(nodes.sparkSession, collected(nodes, e, bound), kernel, ", ".join(f"{k} long" for k in keys) + ", value double")
+    parts = over_sources(nodes.sparkSession, g, kernel, schema, len(ways) + len(left))
     return parts.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 

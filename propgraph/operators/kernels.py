@@ -96,42 +96,147 @@ def weighted_dependencies(g: Csr, s: int, lists: tuple[list, list, list] | None
     return node, edge
 
 
+def _forward(g: Csr, part: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Levels of a search from each of ``part``, as (from, to, stored edge) of (source, node) pairs, the pairs' numbers of ways and steps (-1 where nothing leads)."""
+    degree = np.diff(g.first)
+    new = np.arange(len(part)) * g.n + part
+    steps_to = np.full(len(part) * g.n, -1, np.int32)
+    sigma, mark = np.zeros(len(steps_to)), np.zeros(len(steps_to), np.int32)
+    steps_to[new], sigma[new] = 0, 1.0
+    steps = []
+    while len(new):
+        v = new % g.n
+        n = degree[v]
+        at = np.arange(n.sum()) + np.repeat(g.first[v] - (np.cumsum(n) - n), n)
+        to = g.to[at] + np.repeat(new - v, n)
+        keep = np.flatnonzero(steps_to[to] < 0)
+        to, at, came = to[keep], at[keep], np.repeat(new, n)[keep]
+        np.add.at(sigma, to, sigma[came] * g.weight[at])
+        order = np.arange(len(to), dtype=np.int32)
+        mark[to] = order
+        new = to[mark[to] == order]
+        steps.append((came, to, at))
+        steps_to[new] = len(steps)
+    return steps, sigma, steps_to
+
+
+def _back(g: Csr, part: np.ndarray, steps: list, sigma: np.ndarray, wanted: np.ndarray | None, edge: np.ndarray) -> np.ndarray:
+    """By node, how much ways from ``part`` depend on it, each pair counting as often as ``wanted`` says, or once; sums of edges go to ``edge`` if it has any."""
+    later = np.zeros(len(sigma))
+    for came, to, at in reversed(steps):
+        share = sigma[came] * g.weight[at] / sigma[to] * ((1 if wanted is None else wanted[to]) + later[to])
+        np.add.at(later, came, share)
+        if len(edge):
+            np.add.at(edge, at, share)
+    later[np.arange(len(part)) * g.n + part] = 0.0
+    return later.reshape(len(part), g.n).sum(axis=0)
+
+
+def _batch(g: Csr) -> int:
+    return max(1, min(32, 6_000_000 // (g.n + len(g.to) + 1)))
+
+
 def dependencies(g: Csr, sources: np.ndarray, of_edges: bool) -> np.ndarray:
     """How much shortest paths from ``sources`` depend on each node, or on each stored edge; ``g.weight`` says how many ways an edge stands for.
 
     A batch of sources goes forward by levels, each (source, node) pair once, then back.
     """
     node, edge = np.zeros(g.n), np.zeros(len(g.to) if of_edges else 0)
-    degree = np.diff(g.first)
-    size = max(1, min(32, 6_000_000 // (g.n + len(g.to) + 1)))
-    for i in range(0, len(sources), size):
+    for i in range(0, len(sources), size := _batch(g)):
         part = sources[i : i + size].astype(np.int64)
-        new = np.arange(len(part)) * g.n + part
-        seen = np.zeros(len(part) * g.n, bool)
-        sigma, later = np.zeros(len(seen)), np.zeros(len(seen))
-        mark = np.zeros(len(seen), np.int32)
-        seen[new], sigma[new] = True, 1.0
-        steps = []
-        while len(new):
-            v = new % g.n
-            n = degree[v]
-            at = np.arange(n.sum()) + np.repeat(g.first[v] - (np.cumsum(n) - n), n)
-            to = g.to[at] + np.repeat(new - v, n)
-            keep = np.flatnonzero(~seen[to])
-            to, at, came = to[keep], at[keep], np.repeat(new, n)[keep]
-            np.add.at(sigma, to, sigma[came] * g.weight[at])
-            order = np.arange(len(to), dtype=np.int32)
-            mark[to] = order
-            new = to[mark[to] == order]
-            seen[new] = True
-            steps.append((came, to, at))
-        for came, to, at in reversed(steps):
-            share = sigma[came] * g.weight[at] / sigma[to] * (1 + later[to])
-            np.add.at(later, came, share)
+        steps, sigma, _ = _forward(g, part)
+        node += _back(g, part, steps, sigma, None, edge)
+    return edge if of_edges else node
+
+
+def chains(g: Csr) -> list[np.ndarray]:
+    """Of a simple graph, ways from one node to another over three or more nodes between them that have two neighbours each; the ends have more or fewer."""
+    inner = np.diff(g.first) == 2
+    src = np.repeat(np.arange(g.n), np.diff(g.first))
+    first, to, between = g.first.tolist(), g.to.tolist(), inner.tolist()
+    out, done = [], [False] * g.n
+    starts = np.flatnonzero(~inner[src] & inner[g.to])
+    for a, v in zip(src[starts].tolist(), g.to[starts].tolist()):
+        if done[v]:
+            continue
+        way = [a, v]
+        while between[v]:
+            done[v] = True
+            k = first[v]
+            v = to[k] if to[k] != way[-2] else to[k + 1]
+            way.append(v)
+        if len(way) > 4 and v != a:
+            out.append(np.array(way))
+    return out
+
+
+def sources_by_chains(g: Csr) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``chains``; of each whether its first and last node are to be its sources too, so that each end is one once; and the nodes on no chain."""
+    ways = chains(g)
+    ends = np.array([[w[0], w[-1]] for w in ways], np.int64).reshape(-1, 2)
+    own = np.zeros(ends.shape, bool)
+    own.flat[np.unique(ends, return_index=True)[1]] = True
+    return ways, own, np.setdiff1d(np.arange(g.n), np.concatenate([ends.ravel(), *[w[1:-1] for w in ways]]))
+
+
+def chain_dependencies(g: Csr, ways: list[np.ndarray], own: np.ndarray, of_edges: bool) -> np.ndarray:
+    """``dependencies`` from all nodes between the ends of ``ways`` (``chains`` of a simple graph), and from the ends that ``own`` says, by searches from the ends alone.
+
+    A node at place i of a way of length n reaches what lies outside by the end that is nearer by then; where
+    both are, by the share of each end's ways. So the back sweep from an end counts a node as often as
+    there are places that reach it by this end. Two places of one way meet along it or around by both ends,
+    as their gap and the ends' distance say. Loads along a way are sums over its places.
+    """
+    node, edge = np.zeros(g.n), np.zeros(len(g.to) if of_edges else 0)
+    key = np.repeat(np.arange(g.n), np.diff(g.first)) * g.n + g.to
+    for i in range(0, len(ways), size := max(1, _batch(g) // 2)):
+        batch = ways[i : i + size]
+        part = np.array([[w[0], w[-1]] for w in batch], np.int64).ravel()
+        steps, sigma, steps_to = _forward(g, part)
+        wanted = np.zeros((len(part), g.n))
+        by, far = sigma.reshape(len(part), g.n), steps_to.reshape(len(part), g.n)
+        for j, way in enumerate(batch):
+            n, inside = len(way) - 1, way[1:-1]
+            outside = far[2 * j] >= 0
+            outside[inside] = False
+            t = np.flatnonzero(outside)
+            even = n + far[2 * j + 1, t].astype(np.int64) - far[2 * j, t]  # twice the place from which both ends are as near
+            here = np.clip((even + 1) // 2 - 1, 0, n - 1)
+            tied = (even % 2 == 0) & (even > 0) & (even < 2 * n)
+            share = np.where(tied, by[2 * j, t] / (by[2 * j, t] + by[2 * j + 1, t]), 0.0)
+            to_first = here + share
+            to_last = n - 1 - to_first
+            # what each place 1 .. n - 1 sends to the first end, and to the last
+            twice = 2 * np.arange(1, n)
+            over = len(t) - np.cumsum(np.bincount(even, minlength=2 * n + 1))
+            send = over[twice] + np.bincount(even, weights=share, minlength=2 * n + 1)[twice]
+            send = np.stack([send, len(t) - send])
+            # pairs of places with gap k: the share that meets along the way, and around
+            gap, d = 2 * np.arange(n - 1), n + int(far[2 * j, way[-1]])
+            along = np.where(gap < d, 1.0, np.where(gap == d, 1 / (1 + by[2 * j, way[-1]]), 0.0))
+            along[0] = 0.0
+            around = 1.0 - along
+            around[0] = 0.0
+            rounds = float((around * (n - 1 - np.arange(n - 1))).sum())
+            met, missed = np.cumsum(along), np.cumsum(around)  # from place i to those after it: [n - 1 - i]; to those before it: [i - 1]
+            # loads of the edges from place m to m + 1, m = 0 .. n - 1, by direction, and of the places between
+            down, up, pair = np.zeros(n), np.zeros(n), np.zeros(n)
+            down[:-1] = np.cumsum(send[0][::-1])[::-1]
+            up[1:] = np.cumsum(send[1])
+            pair[1:] = np.cumsum(met[::-1] - met) + np.cumsum(missed)
+            pair[:-1] += np.cumsum(missed)[::-1]
             if of_edges:
-                np.add.at(edge, at, share)
-        later[np.arange(len(part)) * g.n + part] = 0.0
-        node += later.reshape(len(part), g.n).sum(axis=0)
+                np.add.at(edge, np.searchsorted(key, way[1:] * g.n + way[:-1]), down + pair)
+                np.add.at(edge, np.searchsorted(key, way[:-1] * g.n + way[1:]), up + pair)
+            # a place takes what comes by the edge before it or after it from elsewhere
+            node[inside] += down[1:] + up[:-1] + pair[1:] + pair[:-1] - (met + missed) - (met + missed)[::-1]
+            node[way[0]] += to_first.sum() - to_first[np.searchsorted(t, way[0])] + 2 * rounds
+            node[way[-1]] += to_last.sum() - to_last[np.searchsorted(t, way[-1])] + 2 * rounds
+            wanted[2 * j, t], wanted[2 * j + 1, t] = to_first, to_last
+            wanted[2 * j, way[-1]] += rounds
+            wanted[2 * j + 1, way[0]] += rounds
+        wanted += own[i : i + size].reshape(-1, 1)
+        node += _back(g, part, steps, sigma, wanted.ravel(), edge)
     return edge if of_edges else node
 
 

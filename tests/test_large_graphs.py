@@ -197,3 +197,32 @@ def test_all_pairs_bring_no_objects_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("rows as objects"))
     assert {(r[0], r[1]): r[2] for r in traverse.all_pairs_hops(g).collect()} == want
     assert {(r[0], r[1]): 2 * r[2] for r in matrix.electrical_distance(g, None, "x").collect()} == want
+
+
+def test_chains_take_searches_from_their_ends_only():
+    for seed in range(40):
+        rng = random.Random(seed)
+        users, copies = rng.randint(1, 8), rng.randint(2, 14)
+        n = users * copies
+        links = chains(rng, users, copies, rng.randint(1, 3)) + [(n, n + 1), (n + 1, n + 2), (n + 2, n + 3), (n, n + 3)]  # and a ring
+        if seed % 2:
+            links = sorted({*links, *(tuple(sorted(rng.sample(range(n), 2))) for _ in range(2))})
+        g = csr(links, n + 4)
+        ways, own, left = kernels.sources_by_chains(g)
+        assert len(ways) + len(left) <= n + 4
+        for of_edges in (False, True):
+            found = kernels.chain_dependencies(g, ways, own, of_edges) + kernels.dependencies(g, left, of_edges)
+            assert found == pytest.approx(kernels.dependencies(g, np.arange(n + 4), of_edges))
+    g = csr(chains(random.Random(11), 40, 60, 12), 2400)
+    ways, own, left = kernels.sources_by_chains(g)
+    assert len(ways) == 40 and not len(left)  # 2,400 sources before
+
+
+def test_edge_betweenness_of_chains_sums_up_to_all_distances(spark):
+    links = chains(random.Random(12), 12, 20, 3)
+    g = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate(links)])
+    n = 240
+    assert sum(r[2] for r in centrality.edge_betweenness_centrality(g).collect()) * n * (n - 1) == pytest.approx(plain_hops(links, n).sum())
+    between, total = kernels.dependencies(csr(links, n), np.arange(n), False) / ((n - 1) * (n - 2)), plain_hops(links, n).sum(axis=0)
+    best = sorted((-((n - 1) / total[v] + between[v]) / 2, v) for v in range(n))[:5]
+    assert [(r[0], pytest.approx(r[1])) for r in centrality.bess_siting_ranking(g, None, None, 5).collect()] == [(v, -x) for x, v in best]
