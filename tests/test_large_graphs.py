@@ -226,3 +226,11 @@ def test_edge_betweenness_of_chains_sums_up_to_all_distances(spark):
     between, total = kernels.dependencies(csr(links, n), np.arange(n), False) / ((n - 1) * (n - 2)), plain_hops(links, n).sum(axis=0)
     best = sorted((-((n - 1) / total[v] + between[v]) / 2, v) for v in range(n))[:5]
     assert [(r[0], pytest.approx(r[1])) for r in centrality.bess_siting_ranking(g, None, None, 5).collect()] == [(v, -x) for x, v in best]
+
+
+def test_merging_communities_keeps_no_outdated_unions(monkeypatch):
+    links, most = chains(random.Random(13), 100, 20, 12), [0]
+    push = kernels.heapq.heappush
+    monkeypatch.setattr(kernels.heapq, "heappush", lambda heap, x: (push(heap, x), most.__setitem__(0, max(most[0], len(heap)))))
+    kernels.modularity_merge(2000, [(a, b, 1.0) for a, b in links])
+    assert 0 < most[0] <= 3 * len(links) + 1100  # 30,009 before
