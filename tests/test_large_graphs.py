@@ -234,3 +234,30 @@ def test_merging_communities_keeps_no_outdated_unions(monkeypatch):
     monkeypatch.setattr(kernels.heapq, "heappush", lambda heap, x: (push(heap, x), most.__setitem__(0, max(most[0], len(heap)))))
     kernels.modularity_merge(2000, [(a, b, 1.0) for a, b in links])
     assert 0 < most[0] <= 3 * len(links) + 1100  # 30,009 before
+
+
+def test_forests_join_what_the_edges_join(spark):
+    for seed in range(30):
+        rng = random.Random(seed)
+        n = rng.randint(2, 60)
+        a, b = (np.array([rng.randrange(n) for _ in range(rng.randint(1, 70))]) for _ in range(2))
+        a, b = a[: min(len(a), len(b))], b[: min(len(a), len(b))]
+        root, kept = kernels.spanning(n, a, b)
+        want = plain_hops(list(zip(a.tolist(), b.tolist())), n) >= 0
+        assert (root == want.argmax(axis=1)).all() and len(kept) == n - len(set(root.tolist()))
+        assert (kernels.spanning(n, a[kept], b[kept])[0] == root).all()
+    e = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)] * 3, "src long, dst long")
+    assert structure.thinned(e, 5, structure.forest).count() < len(a)
+    parts = [{r[0]: r[1] for r in community._component_of(e, bound).collect()} for bound in (1000, 0)]
+    assert all({v: r for v, r in p.items() if v in set(a[a != b]) | set(b[a != b])} == {v: root[v] for v in range(n) if v in set(a[a != b]) | set(b[a != b])} for p in parts)
+
+
+@pytest.mark.parametrize("find", [community.community_detection, community.label_propagation_communities])
+def test_communities_are_found_once_and_numbered(spark, monkeypatch, find):
+    links = chains(random.Random(14), 6, 4, 3)
+    g = toys.graph(spark, [(i, a, b) for i, (a, b) in enumerate([*links, (500, 500)])], nodes=[999])
+    plans, number = [], community.numbered
+    monkeypatch.setattr(community, "numbered", lambda found: (plans.append(found._jdf.queryExecution().toString()), number(found))[1])
+    every = {x for p in links for x in p}
+    assert set(toys.values(find(g, "LINE"))) == every | {500} and set(toys.values(find(g))) == every | {500, 999}
+    assert len(plans) == 2 and not any("FlatMapGroups" in p for p in plans)  # numbering reads them three times
